@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, chat, sharding, urlfilter
+from docloom.llm import bpe, chat, classifier, quality_rules, sharding, urlfilter
 
-MODULES = (sharding, chat, bpe, urlfilter)
+MODULES = (quality_rules, sharding, chat, bpe, urlfilter, classifier)
 
 
 def queries() -> dict:
