@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, chat, classifier, quality_rules, sharding, urlfilter
+from docloom.llm import bpe, chat, classifier, decontaminate, quality_rules, sharding, substring, urlfilter
 
-MODULES = (quality_rules, sharding, chat, bpe, urlfilter, classifier)
+MODULES = (quality_rules, sharding, chat, bpe, urlfilter, classifier, substring, decontaminate)
 
 
 def queries() -> dict:
