@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, chat, classifier, decontaminate, quality_rules, sharding, substring, urlfilter
+from docloom.llm import bpe, chat, classifier, decontaminate, jaccard, pii, quality_rules, sharding, substring, urlfilter
 
-MODULES = (quality_rules, sharding, chat, bpe, urlfilter, classifier, substring, decontaminate)
+MODULES = (quality_rules, pii, sharding, chat, bpe, urlfilter, jaccard, classifier, substring, decontaminate)
 
 
 def queries() -> dict:
