@@ -1,4 +1,7 @@
 """All queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from docloom.plans import search_queries, text_queries
+
+_MODULES = (search_queries, text_queries)
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
