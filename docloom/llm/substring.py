@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WordHash, keep, slices, table, words_of
+from docloom.llm.common import WordHash, forget, keep, slices, table, words_of
 from docloom.llm.hashing import Bloom, Rolling, mix, sliding_min
 
 LENGTH, ANCHOR = 50, 20
-#: Rows up to these numbers (some 40 MB) are broadcast; more are joined by a shuffle.
+#: Values up to this number (some 40 MB) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 400_000
 #: Runs that one copy of an owner's automaton serves.
 MOST_RUNS = 2_000
@@ -125,9 +125,9 @@ class Windows:
         return self.one.runs(prefix, self.length), self.two.runs(self.two.prefix(mix(tokens)), self.length)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is within the bound."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def _small(df: DataFrame, cost: str = "1") -> DataFrame:
+    """df, to be broadcast if its summed cost (values of a row, about) is within the bound."""
+    return F.broadcast(df) if (df.agg(F.sum(F.expr(cost))).first()[0] or 0) <= MOST_BROADCAST else df
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -169,8 +169,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
                 cols = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "doc_id", "k", "pos"])
 
-    seen = unique.mapInArrow(windows_of, "h1 bigint, h2 bigint, doc_id bigint, k bigint, pos int")
+    # kept, as both the owners and the rows that look theirs up need it; the owners too, so that the join's two sides are
+    # plain exchanges, whose large partitions Spark splits when a window fills them
+    seen = keep(unique.mapInArrow(windows_of, "h1 bigint, h2 bigint, doc_id bigint, k bigint, pos int"), "windows")
     owners = seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("__last")).where("owner < __last").drop("__last")
+    owners = keep(owners, "owners")
     placed = seen.join(owners, ["h1", "h2"]).groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "owner")).alias("at"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +190,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("owner", pa.int64())])))], names=["doc_id", "k", "runs"])
 
     placed = keep(placed.mapInArrow(runs, "doc_id bigint, k bigint, runs array<struct<start: int, stop: int, owner: bigint>>"), "runs")
+    forget(seen)
+    forget(owners)
 
     # reference passages and the runs that pass them, with their words
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +206,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
                 cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["owner", "doc_id", "k", "start", "words"])
 
-    with_text = unique.join(_small(placed), ["doc_id", "k"]).select("doc_id", "k", "text", "runs")
+    with_text = unique.join(_small(placed, "1 + size(runs)"), ["doc_id", "k"]).select("doc_id", "k", "text", "runs")
     parts = with_text.mapInArrow(pieces, "owner bigint, doc_id bigint, k bigint, start int, words string")
     served = placed.select(F.col("doc_id").alias("__d"), F.explode("runs").alias("r")).where("r.owner <> __d").groupBy(F.col("r.owner").alias("owner")).agg(F.count(F.lit(1)).alias("n")).select("owner", F.ceil(F.col("n") / MOST_RUNS).cast("int").alias("__shares")).where("__shares > 1")
     shared = parts.join(_small(served), "owner", "left").withColumn("__shares", F.coalesce("__shares", F.lit(1)))
@@ -225,7 +230,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
 
     matched = dealt.mapInArrow(match, "doc_id bigint, k bigint, start int, stop int")
     removed = keep(matched.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")), "spans")
-    return marked.join(_small(removed), ["doc_id", "k"], "left").select("doc_id", "text", "__copy", "spans")
+    return marked.join(_small(removed, "1 + size(spans)"), ["doc_id", "k"], "left").select("doc_id", "text", "__copy", "spans")
 
 
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
