@@ -31,7 +31,7 @@ from docloom.llm.hashing import Rolling, mix
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9995
 MOST_BANDS, BLOCK = 16, 256
-#: Rows up to this number (some 60 MB) are broadcast; more are joined by a shuffle.
+#: Values up to this number (some 40 MB) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 400_000
 
 
@@ -162,8 +162,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before = sums
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def _small(df: DataFrame, cost: str = "1") -> DataFrame:
+    """df, to be broadcast if its summed cost (values of a row, about) is within the bound."""
+    return F.broadcast(df) if (df.agg(F.sum(F.expr(cost))).first()[0] or 0) <= MOST_BROADCAST else df
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, recall: float = RECALL) -> DataFrame:
@@ -212,7 +213,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int =
                         out = []
                 yield _dealt(out)
 
-    with_text = own.select("doc_id", "a", "text").join(_small(member.withColumnRenamed("rep", "doc_id")), ["doc_id", "a"]).select("doc_id", "text", "buckets")
+    with_text = own.select("doc_id", "a", "text").join(_small(member.withColumnRenamed("rep", "doc_id"), "size(buckets)"), ["doc_id", "a"]).select("doc_id", "text", "buckets")
     dealt = with_text.mapInArrow(deal, "band int, h bigint, lo int, hi int, side int, rep bigint, sig binary, shingles binary").repartition("band", "h", "lo", "hi").sortWithinPartitions("band", "h", "lo", "hi", "rep")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
