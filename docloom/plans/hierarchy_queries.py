@@ -91,3 +91,14 @@ SELECT doc_id, block_ix, CAST(CASE WHEN n < 3 OR kind <> 'heading' THEN level EL
     "render_lines": f"WITH {BLOCKS}, {_PARTS}, {_ANCHOR} SELECT doc_id, block_ix, md5(CASE WHEN anchor THEN '<!-- p.' || page || ' -->' || chr(10) ELSE '' END || CASE WHEN kind = 'heading' THEN repeat('#', level) || ' ' || text || ' <!-- p.' || page || ' -->' ELSE text END || chr(10)) AS digest FROM an",
     "search_records": f"WITH {BLOCKS}, {_PARTS}, {_ANCHOR}, {_LINES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_ix) AS rowid, part_ix || '.md' AS file, line, coalesce({_NUM.format('doc_id, part_ix')}, {_TITLE.format('doc_id, part_ix')}, '') AS section, kind FROM lines",
 }
+
+
+def _pictures(s, d):  # noqa: ANN001, ANN202
+    """Line blocks in which some lines are pictures and some hold captions."""
+    i = F.col("block_ix")
+    df = _blocks(s, d)
+    cap = F.concat(F.lit("Figure "), i.cast("string"), F.lit(". Drawing of "), F.substring("text", 1, 20))
+    return df.withColumns({"kind": F.when(i % 7 == 2, "picture").otherwise(F.col("kind")), "title": F.when(i % 7 == 2, "").otherwise(F.col("title")), "text": F.when(i % 7 == 2, "").when((i % 7 == 5) & (F.col("kind") == "text"), cap).otherwise(F.col("text"))})
+
+
+QUERIES["margin_captions"] = lambda s, d: H.margin_captions(_pictures(s, d))
