@@ -43,7 +43,7 @@ def grade(answers: DataFrame) -> DataFrame:
     unmet = F.filter("__g", lambda g: ~F.exists(F.filter(F.split(g, r"\|"), lambda x: F.trim(x) != ""), lambda x: F.regexp_like(F.col("__a"), alternative_pattern(x))))
     refused = F.col("answer").rlike(NOT_FOUND) & ~F.col("__a").rlike(INVENTED)
     absent = F.trim("must") == "NOT_FOUND"
-    miss = F.when(absent, F.when(refused, F.array().cast("array<string>")).otherwise(F.array(F.lit("NOT_FOUND")))).otherwise(F.transform(unmet, F.trim))
+    miss = F.when(absent, F.when(refused, F.array().cast("array<string>")).otherwise(F.array(F.lit("NOT_FOUND")))).otherwise(F.transform(unmet, lambda x: F.trim(x)))
     cited = F.when(F.col("mode") == "pdfk", F.col("answer").rlike(CITES["pdfk"])).otherwise(F.col("answer").rlike(CITES["baseline"]))
     return df.withColumn("missing", miss).withColumns({"correct": (F.size("missing") == 0).cast("int"), "cited": cited.cast("int")}).drop("__a", "__g")
 

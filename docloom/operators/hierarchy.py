@@ -60,7 +60,7 @@ def normalize_levels(blocks: DataFrame) -> DataFrame:
     whole = Window.partitionBy("doc_id")
     df = blocks.withColumn("__depth", depth)
     df = df.withColumns({"__least": F.min("__depth").over(whole), "__n": F.count("__depth").over(whole)})
-    df = df.withColumn("__own", F.least(F.lit(6), F.col("__depth") - F.col("__least") + 1))
+    df = df.withColumn("__own", F.when(F.col("__depth").isNotNull(), F.least(F.lit(6), F.col("__depth") - F.col("__least") + 1)))  # least() passes over nulls
     df = df.withColumn("__under", F.least(F.lit(6), F.coalesce(carried(F.col("__own")), F.lit(1)) + 1))
     level = F.when((F.col("__n") < 3) | (F.col("kind") != "heading"), F.col("level")).otherwise(F.coalesce("__own", "__under"))
     return df.withColumns({"level": level, "strategy": F.when(F.col("__n") < 3, "docling").otherwise("numbering")}).drop("__depth", "__least", "__n", "__own", "__under")

@@ -75,7 +75,7 @@ k AS (SELECT *, unnest(CASE WHEN opens THEN [0, 1] ELSE [0] END) AS part FROM e
 SELECT doc_id, block_ix, CAST(part AS INT) AS part, CASE WHEN part = 1 THEN 'text' ELSE kind END AS kind, md5(CASE WHEN part = 1 THEN '{H.PLACEHOLDER}' ELSE text END) AS digest FROM k""",
     "normalize_levels": f"""WITH {BLOCKS}, x AS (SELECT *, CASE WHEN kind = 'heading' AND sec <> '' THEN len(string_split(sec, '.')) END AS dp FROM b),
 y AS (SELECT *, min(dp) OVER (PARTITION BY doc_id) AS mn, count(dp) OVER (PARTITION BY doc_id) AS n FROM x),
-z AS (SELECT *, least(6, dp - mn + 1) AS own FROM y),
+z AS (SELECT *, CASE WHEN dp IS NOT NULL THEN least(6, dp - mn + 1) END AS own FROM y),
 w AS (SELECT *, least(6, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_ix), 1) + 1) AS un FROM z)
 SELECT doc_id, block_ix, CAST(CASE WHEN n < 3 OR kind <> 'heading' THEN level ELSE coalesce(own, un) END AS INT) AS level, CASE WHEN n < 3 THEN 'docling' ELSE 'numbering' END AS strategy FROM w""",
     "part_sizes": f"WITH {BLOCKS}, {_PARTS} SELECT doc_id, part_ix, CAST(sum(length(text) + 2) AS BIGINT) AS size, min(page) AS page_first, max(page) AS page_last FROM p GROUP BY doc_id, part_ix",
