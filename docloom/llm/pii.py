@@ -242,7 +242,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with text replaced, n_entities and entity_types."""
     rest = [c for c in docs.columns if c not in ("n_entities", "entity_types")]
     own = docs.select(*rest).withColumns({"__a": F.xxhash64("text"), "__b": F.xxhash64(F.lit(1), "text")})
-    keyed = _keyed(own.select("text", "__a", "__b"))
+    keyed = keep(_keyed(own.select("text", "__a", "__b")), "keyed")  # texts are searched once for it
     again = redraws(keyed, key)
     no_attempts = F.lit(None).cast("map<string, int>")
     if again is None:
