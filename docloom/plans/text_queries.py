@@ -17,21 +17,27 @@ def _docs(spark, d):  # noqa: ANN001, ANN202
     return A.table(spark, d, "documents")
 
 
-_K = F.col("p_partkey")
-_S = _K.cast("string")
+def _k():  # noqa: ANN202
+    return F.col("p_partkey")
+
+
+def _s():  # noqa: ANN202
+    return _k().cast("string")
+
+
 QUERIES = {
-    "fix_text": lambda s, d: _parts(s, d).select("p_partkey", X.fix_text(F.concat(F.lit("PLL _R"), _S, F.lit(" _CS _x a _b _c and _d"))).alias("fixed")),
-    "heading_parse": lambda s, d: _parts(s, d).withColumn("t", F.concat(F.element_at(F.array(*map(F.lit, ["", "Chapter ", "section ", "see "])), (_K % 4 + 1).cast("int")), F.when(_K % 5 == 0, "A").otherwise(""), (_K % 30).cast("string"), F.when(_K % 3 > 0, F.concat(F.lit("."), (_K % 7).cast("string"))).otherwise(""), F.when(_K % 2 == 0, ".").otherwise(""), F.lit("  "), F.col("p_name"))).select("p_partkey", X.heading_section(F.col("t")).alias("sec"), X.heading_title(F.col("t")).alias("title")),
+    "fix_text": lambda s, d: _parts(s, d).select("p_partkey", X.fix_text(F.concat(F.lit("PLL _R"), _s(), F.lit(" _CS _x a _b _c and _d"))).alias("fixed")),
+    "heading_parse": lambda s, d: _parts(s, d).withColumn("t", F.concat(F.element_at(F.array(*map(F.lit, ["", "Chapter ", "section ", "see "])), (_k() % 4 + 1).cast("int")), F.when(_k() % 5 == 0, "A").otherwise(""), (_k() % 30).cast("string"), F.when(_k() % 3 > 0, F.concat(F.lit("."), (_k() % 7).cast("string"))).otherwise(""), F.when(_k() % 2 == 0, ".").otherwise(""), F.lit("  "), F.col("p_name"))).select("p_partkey", X.heading_section(F.col("t")).alias("sec"), X.heading_title(F.col("t")).alias("title")),
     "slugify": lambda s, d: _docs(s, d).select("doc_id", X.slugify(F.substring("text", 1, 60), 32).alias("slug")),
-    "doc_id_from_name": lambda s, d: _parts(s, d).select("p_partkey", X.doc_id_from_name(F.concat(F.lit("/data/"), F.when(_K % 3 == 0, F.concat(F.lit("RP"), (_K % 100000).cast("string"), F.lit("-datasheet"))).otherwise(F.col("p_name")), F.lit(".v"), _S, F.lit(".pdf"))).alias("id")),
+    "doc_id_from_name": lambda s, d: _parts(s, d).select("p_partkey", X.doc_id_from_name(F.concat(F.lit("/data/"), F.when(_k() % 3 == 0, F.concat(F.lit("RP"), (_k() % 100000).cast("string"), F.lit("-datasheet"))).otherwise(F.col("p_name")), F.lit(".v"), _s(), F.lit(".pdf"))).alias("id")),
     "one_line": lambda s, d: _docs(s, d).select("doc_id", X.one_line(F.col("text")).alias("line")),
     "leader_share": lambda s, d: _docs(s, d).select("doc_id", F.round(X.leader_share(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(x, F.lit(" . . . . . . . 12"))).otherwise(x))), 6).alias("share")),
-    "bits_normalise": lambda s, d: _parts(s, d).withColumn("b", F.element_at(F.array(F.concat(F.lit("["), F.lit("31"), F.lit(" : "), (_K % 31).cast("string"), F.lit("]")), F.concat(F.lit("31 – "), (_K % 31).cast("string")), F.concat((_K % 32).cast("string"), F.lit("-0")), (_K % 32).cast("string"), F.lit("none")), (_K % 5 + 1).cast("int"))).select("p_partkey", X.bits(F.col("b")).alias("bits"), X.bit_high(X.bits(F.col("b"))).alias("hi"), X.bit_low(X.bits(F.col("b"))).alias("lo")),
-    "hex_normalise": lambda s, d: _parts(s, d).withColumn("h", F.concat(F.lit(" 0x"), F.hex(_K * 7919), F.when(_K % 2 == 0, " 00Ff").otherwise("_AbCd1234"))).select("p_partkey", X.hex_plain(F.col("h")).alias("plain"), X.hex_padded(F.col("h")).alias("padded")),
-    "hex_variants": lambda s, d: _parts(s, d).select("p_partkey", F.array_join(X.hex_variants(F.concat(F.lit("0x00"), F.hex(_K))), ",").alias("variants")),
+    "bits_normalise": lambda s, d: _parts(s, d).withColumn("b", F.element_at(F.array(F.concat(F.lit("["), F.lit("31"), F.lit(" : "), (_k() % 31).cast("string"), F.lit("]")), F.concat(F.lit("31 – "), (_k() % 31).cast("string")), F.concat((_k() % 32).cast("string"), F.lit("-0")), (_k() % 32).cast("string"), F.lit("none")), (_k() % 5 + 1).cast("int"))).select("p_partkey", X.bits(F.col("b")).alias("bits"), X.bit_high(X.bits(F.col("b"))).alias("hi"), X.bit_low(X.bits(F.col("b"))).alias("lo")),
+    "hex_normalise": lambda s, d: _parts(s, d).withColumn("h", F.concat(F.lit(" 0x"), F.hex(_k() * 7919), F.when(_k() % 2 == 0, " 00Ff").otherwise("_AbCd1234"))).select("p_partkey", X.hex_plain(F.col("h")).alias("plain"), X.hex_padded(F.col("h")).alias("padded")),
+    "hex_variants": lambda s, d: _parts(s, d).select("p_partkey", F.array_join(X.hex_variants(F.concat(F.lit("0x00"), F.hex(_k()))), ",").alias("variants")),
     "name_family_expand": lambda s, d: _parts(s, d).where("p_size between 2 and 40").select("p_partkey", F.explode(X.expand_names(F.array(F.lit("GPIO0_CTRL"), F.lit("GPIO1_CTRL"), F.lit("…"), F.concat(F.lit("GPIO"), F.col("p_size").cast("string"), F.lit("_CTRL"))))).alias("m")).select("p_partkey", "m.name", "m.derived"),
-    "offset_expand": lambda s, d: _parts(s, d).select("p_partkey", F.posexplode(X.expand_offsets(F.array(F.lit("0x000"), X.to_hex((_K % 16).cast("bigint"), 3), F.lit("...")), F.col("p_size"))).alias("i", "offset")),
-    "page_range_clamp": lambda s, d: _parts(s, d).select("p_partkey", X.clamp_pages((_K % 9 - 2), (_K % 50), F.col("p_size").cast("bigint")).alias("pages")),
+    "offset_expand": lambda s, d: _parts(s, d).select("p_partkey", F.posexplode(X.expand_offsets(F.array(F.lit("0x000"), X.to_hex((_k() % 16).cast("bigint"), 3), F.lit("...")), F.col("p_size"))).alias("i", "offset")),
+    "page_range_clamp": lambda s, d: _parts(s, d).select("p_partkey", X.clamp_pages((_k() % 9 - 2), (_k() % 50), F.col("p_size").cast("bigint")).alias("pages")),
     "content_hash": lambda s, d: _docs(s, d).select("doc_id", F.sha2("text", 256).alias("sha256")),
     "html_blocks": lambda s, d: R.html_blocks(A.table(s, d, "pages")).select("doc_id", "block_ix", "kind", "level", "text"),
 }
