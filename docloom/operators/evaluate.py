@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 _VERBS = r"(?:exist|appear|contain|cover|include|have|mention|document|in|part)"
 NOT_FOUND = rf"(?i)not (?:found|present|contain|in the|documented|available|exist|cover|include|defined|part of|mention)|no (?:such|mention|entry|register|hits?|information|match|results?|documentation)|(?:does|do|is|are)n[’']?t {_VERBS}|(?:does|do|is|are) not {_VERBS}|(?:can(?:no|')t|could(?:n'| no)t|unable to) (?:find|locate|answer)|nothing (?:about|on|for)|isn[’']?t (?:in|part|present|documented)|outside the scope"
 INVENTED = r"reset value (?:is|=|:)\s*0x"
-CITES = {"pdfk": r"(?i)\[[^\]]*\bp\.\s?\d+", "baseline": r"(?i)\b(?:p\.|pages?)\s?\d+"}
+CITES = {"indexed": r"(?i)\[[^\]]*\bp\.\s?\d+", "baseline": r"(?i)\b(?:p\.|pages?)\s?\d+"}
 
 
 def plain_answer(answer: Column) -> Column:
@@ -44,7 +44,7 @@ def grade(answers: DataFrame) -> DataFrame:
     refused = F.col("answer").rlike(NOT_FOUND) & ~F.col("__a").rlike(INVENTED)
     absent = F.trim("must") == "NOT_FOUND"
     miss = F.when(absent, F.when(refused, F.array().cast("array<string>")).otherwise(F.array(F.lit("NOT_FOUND")))).otherwise(F.transform(unmet, lambda x: F.trim(x)))
-    cited = F.when(F.col("mode") == "pdfk", F.col("answer").rlike(CITES["pdfk"])).otherwise(F.col("answer").rlike(CITES["baseline"]))
+    cited = F.when(F.col("mode") == "indexed", F.col("answer").rlike(CITES["indexed"])).otherwise(F.col("answer").rlike(CITES["baseline"]))
     return df.withColumn("missing", miss).withColumns({"correct": (F.size("missing") == 0).cast("int"), "cited": cited.cast("int")}).drop("__a", "__g")
 
 

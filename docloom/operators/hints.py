@@ -26,7 +26,7 @@ def hints(prompts: DataFrame, registers: DataFrame) -> DataFrame:
     line = F.concat(F.col("name"), F.lit(" ("), F.col("r.peripheral"), offset, F.lit(") is documented in ["), F.col("doc_id"), F.lit(" §"), F.col("r.section"), F.lit(" p."), F.col("r.page").cast("string"), F.lit("]"))
     by_name = asked.join(regs.select("doc_id", "name", line.alias("hint")), F.col("token") == F.col("name")).select("prompt_id", F.lit(0).alias("tier"), F.col("doc_id").alias("a"), F.col("name").alias("b"), "hint")
     docs = registers.select("peripheral", "doc_id").distinct().groupBy("peripheral").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ", ").alias("docs"))
-    by_peripheral = asked.join(docs, F.col("token") == F.col("peripheral")).select("prompt_id", F.lit(1).alias("tier"), F.lit("").alias("a"), F.col("peripheral").alias("b"), F.concat(F.lit("peripheral "), F.col("peripheral"), F.lit(" has registers in docpack "), F.col("docs")).alias("hint"))
+    by_peripheral = asked.join(docs, F.col("token") == F.col("peripheral")).select("prompt_id", F.lit(1).alias("tier"), F.lit("").alias("a"), F.col("peripheral").alias("b"), F.concat(F.lit("peripheral "), F.col("peripheral"), F.lit(" has registers in document set "), F.col("docs")).alias("hint"))
     shown = by_name.select("prompt_id", "b").distinct()
     by_peripheral = by_peripheral.join(shown, ["prompt_id", "b"], "left_anti")
     every = by_name.unionByName(by_peripheral).groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("tier", "a", "b", "hint"))).alias("h"))
@@ -36,7 +36,7 @@ def hints(prompts: DataFrame, registers: DataFrame) -> DataFrame:
 def read_guard(events: DataFrame) -> DataFrame:
     """events (tool, path, size, has_limit) with decision and reason."""
     low = F.lower(F.replace("path", F.lit("\\"), F.lit("/")))
-    inside = low.contains("/.pdfk/")
+    inside = low.contains("/.docstore/")
     internal = inside & (low.endswith(INTERNAL[0]) | low.endswith(INTERNAL[1]) | low.endswith(INTERNAL[2]))
     large = inside & low.endswith(".md") & low.contains("/sections/") & ~F.col("has_limit") & (F.col("size") > LARGE_SECTION)
     reason = (

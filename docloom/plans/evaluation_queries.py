@@ -15,7 +15,7 @@ from docloom.sources import readers
 def _guard(s, d):  # noqa: ANN001, ANN202
     """Events as reads of files."""
     e = F.col("event_id")
-    path = F.element_at(F.array(*map(F.lit, ["/a/B.PDF", "/x/.pdfk/d/docling.json", "C:\\w\\.pdfk\\d\\sections\\01.md", "/x/.pdfk/d/search.sqlite", "/x/notes.txt", ""])), (e % 6 + 1).cast("int"))
+    path = F.element_at(F.array(*map(F.lit, ["/a/B.PDF", "/x/.docstore/d/docling.json", "C:\\w\\.docstore\\d\\sections\\01.md", "/x/.docstore/d/search.sqlite", "/x/notes.txt", ""])), (e % 6 + 1).cast("int"))
     return A.table(s, d, "events").select("event_id", F.when(e % 7 == 0, "Edit").otherwise("Read").alias("tool"), path.alias("path"), (F.col("user_id") * 7919 % 3000000).alias("size"), (e % 4 == 0).alias("has_limit"))
 
 
@@ -25,7 +25,7 @@ def _answers(s, d):  # noqa: ANN001, ANN202
     c = F.col("o_custkey")
     must = F.when(k % 5 == 0, F.concat(F.lit("0x"), F.hex(k))).when(k % 5 == 1, F.concat(F.lit("31:"), (c % 32).cast("string"), F.lit("; rw"))).when(k % 5 == 2, F.concat((c % 100).cast("string"), F.lit("|fast; SLOW|medium"))).when(k % 5 == 3, F.col("o_orderpriority")).otherwise("NOT_FOUND")
     said = F.when(k % 5 == 0, F.concat(F.lit("It is `0x0000"), F.hex(k + (c % 2)), F.lit("` [d §1 p. 7]"))).when(k % 5 == 1, F.concat(F.lit("Bits 31 – "), (c % 31).cast("string"), F.lit(", *RW*, page 3"))).when(k % 5 == 2, F.concat(F.lit("About 1"), (c % 100).cast("string"), F.lit(" or "), (k % 100).cast("string"), F.lit(", medium"))).when(k % 5 == 3, F.concat(F.lit("Priority: "), F.upper(F.col("o_orderpriority")))).otherwise(F.when(c % 2 == 0, "That register does not exist.").otherwise("Not found, but the reset value is 0x10 [d p.4]"))
-    return o.select(k.cast("string").alias("id"), F.when(k % 2 == 0, "pdfk").otherwise("baseline").alias("mode"), must.alias("must"), said.alias("answer"))
+    return o.select(k.cast("string").alias("id"), F.when(k % 2 == 0, "indexed").otherwise("baseline").alias("mode"), must.alias("must"), said.alias("answer"))
 
 
 def _questions(s, d):  # noqa: ANN001, ANN202
@@ -70,7 +70,7 @@ QUERIES = {
     "read_guard": lambda s, d: H.read_guard(_guard(s, d)).select("event_id", "decision", "reason"),
     "grade_answers": lambda s, d: E.grade(_answers(s, d)).select("id", "mode", "correct", "cited", F.array_join("missing", ",").alias("missing")),
     "eval_report": lambda s, d: E.report(A.eval_rows(s, d)),
-    "eval_crosstab": lambda s, d: E.cross_tab(A.eval_rows(s, d), ["pdfk", "baseline"]),
+    "eval_crosstab": lambda s, d: E.cross_tab(A.eval_rows(s, d), ["indexed", "baseline"]),
     "eval_wrong": lambda s, d: E.wrong(A.eval_rows(s, d)),
     "eval_upsert": _upsert,
     "upper_median": lambda s, d: A.table(s, d, "lineitem").groupBy("l_suppkey").agg(E.upper_median("l_quantity").alias("median")),
@@ -82,13 +82,13 @@ QUERIES = {
 _PROMPTS = "pr AS (SELECT conv_id || '-' || turn AS prompt_id, 'What does R' || ((conv_id * 7 + turn) % (SELECT count(*) FROM part)) || '_CTRL do in the USB part of P' || (conv_id % 1000) || '? ' || coalesce(text, '') AS prompt FROM conversations WHERE role = 'user')"
 _TOKENS = f"""{_PROMPTS}, tk AS (SELECT prompt_id, list_filter(regexp_extract_all(prompt, '\\b[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)*\\b'), lambda t: NOT list_contains([{", ".join(f"'{w}'" for w in H.STOP)}], t) AND (contains(t, '_') OR regexp_matches(t, '[0-9]') OR length(t) >= 4)) AS t FROM pr),
 tl AS (SELECT prompt_id, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 40) AS t FROM tk)"""
-_EV = "ev AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS category, CASE WHEN event_id % 2 = 0 THEN 'pdfk' ELSE 'baseline' END AS mode, CAST(event_id % 3 <> 0 AS INT) AS correct, CAST(event_id % 5 <> 0 AS INT) AS cited, round(value, 4) AS cost_usd, user_id * 13 % 1000 AS tokens_total, event_id % 9 AS turns, event_id % 17 AS wall_s, event_id % 11 = 0 AS denied FROM events)"
+_EV = "ev AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS category, CASE WHEN event_id % 2 = 0 THEN 'indexed' ELSE 'baseline' END AS mode, CAST(event_id % 3 <> 0 AS INT) AS correct, CAST(event_id % 5 <> 0 AS INT) AS cited, round(value, 4) AS cost_usd, user_id * 13 % 1000 AS tokens_total, event_id % 9 AS turns, event_id % 17 AS wall_s, event_id % 11 = 0 AS denied FROM events)"
 ORACLES = {
     "prompt_tokens": f"WITH {_TOKENS} SELECT prompt_id, array_to_string(t, ',') AS tokens FROM tl",
     "prompt_hint": f"""WITH {_REG}, {_TOKENS}, a AS (SELECT prompt_id, unnest(t) AS token FROM tl),
 hn AS (SELECT prompt_id, 0 AS tier, doc_id AS a, name AS b, name || ' (' || peripheral || ' offset ' || "offset" || ') is documented in [' || doc_id || ' §' || section || ' p.' || page || ']' AS hint FROM a JOIN r ON token = name WHERE contains(name, '_') OR length(name) >= 5),
 pd AS (SELECT peripheral, string_agg(doc_id, ', ' ORDER BY doc_id) AS docs FROM (SELECT DISTINCT peripheral, doc_id FROM r) GROUP BY peripheral),
-hp AS (SELECT prompt_id, 1 AS tier, '' AS a, peripheral AS b, 'peripheral ' || peripheral || ' has registers in docpack ' || docs AS hint FROM a JOIN pd ON token = peripheral),
+hp AS (SELECT prompt_id, 1 AS tier, '' AS a, peripheral AS b, 'peripheral ' || peripheral || ' has registers in document set ' || docs AS hint FROM a JOIN pd ON token = peripheral),
 al AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY tier, a, b) AS k, count(*) OVER (PARTITION BY prompt_id) AS n FROM (SELECT * FROM hn UNION ALL SELECT * FROM hp))
 SELECT prompt_id, string_agg(hint, '; ' ORDER BY k) FILTER (k <= 5) AS hints, CAST(greatest(max(n) - 5, 0) AS INT) AS more FROM al GROUP BY prompt_id""",
     "read_guard": r"""WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'Edit' ELSE 'Read' END AS tool, event_id % 6 AS f, user_id * 7919 % 3000000 AS size, event_id % 4 = 0 AS lim FROM events),
@@ -100,11 +100,11 @@ g AS (SELECT k, c, CASE k % 5
     WHEN 1 THEN CASE WHEN c % 31 = c % 32 THEN '' ELSE '31:' || (c % 32) END
     WHEN 2 THEN CASE WHEN regexp_matches('about 1' || (c % 100) || ' or ' || (k % 100) || ', medium', '(^|[^0-9.])' || (c % 100) || '([^0-9]|$)') THEN '' ELSE (c % 100) || '|fast' END
     WHEN 3 THEN '' ELSE CASE WHEN c % 2 = 0 THEN '' ELSE 'NOT_FOUND' END END AS missing FROM o)
-SELECT CAST(k AS VARCHAR) AS id, CASE WHEN k % 2 = 0 THEN 'pdfk' ELSE 'baseline' END AS mode, CAST(missing = '' AS INT) AS correct,
+SELECT CAST(k AS VARCHAR) AS id, CASE WHEN k % 2 = 0 THEN 'indexed' ELSE 'baseline' END AS mode, CAST(missing = '' AS INT) AS correct,
 CAST(CASE WHEN k % 2 = 0 THEN k % 5 = 0 OR (k % 5 = 4 AND c % 2 = 1) ELSE k % 5 IN (0, 1) OR (k % 5 = 4 AND c % 2 = 1) END AS INT) AS cited, missing FROM g""",
     "eval_report": f"""WITH {_EV} SELECT mode, count(*) AS n, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(cited) AS BIGINT) AS cited, round(sum(cost_usd), 4) AS cost_total, round(avg(cost_usd), 4) AS cost_mean, round(avg(tokens_total), 4) AS tokens_mean,
 list_sort(list(tokens_total))[count(*) // 2 + 1] AS tokens_median, round(avg(turns), 4) AS turns_mean, round(avg(wall_s), 4) AS wall_mean, count(*) FILTER (denied) AS denied_runs FROM ev GROUP BY mode""",
-    "eval_crosstab": f"WITH {_EV} SELECT category, (sum(correct) FILTER (mode = 'pdfk')) || '/' || (count(*) FILTER (mode = 'pdfk')) AS pdfk, (sum(correct) FILTER (mode = 'baseline')) || '/' || (count(*) FILTER (mode = 'baseline')) AS baseline FROM ev GROUP BY category",
+    "eval_crosstab": f"WITH {_EV} SELECT category, (sum(correct) FILTER (mode = 'indexed')) || '/' || (count(*) FILTER (mode = 'indexed')) AS indexed, (sum(correct) FILTER (mode = 'baseline')) || '/' || (count(*) FILTER (mode = 'baseline')) AS baseline FROM ev GROUP BY category",
     "eval_wrong": f"WITH {_EV} SELECT mode, string_agg(id, ', ' ORDER BY id) AS ids FROM ev WHERE correct = 0 GROUP BY mode",
     "eval_upsert": f"WITH {_EV} SELECT id, mode, CAST(CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN 7 ELSE correct END AS INT) AS correct, CAST(CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 1000 - CAST(id AS BIGINT) % 1000 ELSE 999 END AS INT) AS place FROM ev",
     "upper_median": "SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median FROM lineitem GROUP BY l_suppkey",

@@ -82,4 +82,4 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as graded results."""
     df = table(spark, sf_dir, "events")
     e = F.col("event_id")
-    return df.select(e.cast("string").alias("id"), F.col("event_type").alias("category"), F.when(e % 2 == 0, "pdfk").otherwise("baseline").alias("mode"), (e % 3 != 0).cast("int").alias("correct"), (e % 5 != 0).cast("int").alias("cited"), F.round("value", 4).alias("cost_usd"), (F.col("user_id") * 13 % 1000).cast("bigint").alias("tokens_total"), (e % 9).cast("int").alias("turns"), (e % 17).cast("double").alias("wall_s"), F.when(e % 11 == 0, "Read").otherwise("").alias("denied"))
+    return df.select(e.cast("string").alias("id"), F.col("event_type").alias("category"), F.when(e % 2 == 0, "indexed").otherwise("baseline").alias("mode"), (e % 3 != 0).cast("int").alias("correct"), (e % 5 != 0).cast("int").alias("cited"), F.round("value", 4).alias("cost_usd"), (F.col("user_id") * 13 % 1000).cast("bigint").alias("tokens_total"), (e % 9).cast("int").alias("turns"), (e % 17).cast("double").alias("wall_s"), F.when(e % 11 == 0, "Read").otherwise("").alias("denied"))

@@ -112,8 +112,8 @@ def test_document_tree(spark):
 
 
 @pytest.mark.parametrize(("must", "answer", "mode", "correct", "cited"), [
-    ("0x63", "It is 0x0000_0063 [rp §1 p. 3]", "pdfk", 1, 1), ("0x63", "0x630", "pdfk", 0, 0), ("31:16", "bits 31 – 16, page 4", "baseline", 1, 1), ("12", "112", "baseline", 0, 0),
-    ("a|b; c", "B and C", "baseline", 1, 0), ("NOT_FOUND", "It does not exist.", "pdfk", 1, 0), ("NOT_FOUND", "Not found; the reset value is 0x1", "pdfk", 0, 0),
+    ("0x63", "It is 0x0000_0063 [rp §1 p. 3]", "indexed", 1, 1), ("0x63", "0x630", "indexed", 0, 0), ("31:16", "bits 31 – 16, page 4", "baseline", 1, 1), ("12", "112", "baseline", 0, 0),
+    ("a|b; c", "B and C", "baseline", 1, 0), ("NOT_FOUND", "It does not exist.", "indexed", 1, 0), ("NOT_FOUND", "Not found; the reset value is 0x1", "indexed", 0, 0),
 ])
 def test_grade(spark, must, answer, mode, correct, cited):
     df = spark.createDataFrame([("q", mode, must, answer)], "id string, mode string, must string, answer string")
@@ -129,7 +129,7 @@ def test_hints_and_guard(spark):
     regs = spark.createDataFrame([("rp", "GPIO0_CTRL", "IO", "0x4", "2.1", 7, 1)], "doc_id string, name string, peripheral string, offset string, section string, page int, block_ix long")
     p = spark.createDataFrame([("a", "What is GPIO0_CTRL on USB?"), ("b", "hello WARNING")], "prompt_id string, prompt string")
     assert hints.hints(p, regs).collect() == [("a", "GPIO0_CTRL (IO offset 0x4) is documented in [rp §2.1 p.7]", 0)]
-    ev = spark.createDataFrame([("Read", "/a.pdf", 1, False), ("Edit", "/a.pdf", 1, False), ("Read", "/x/.pdfk/d/sections/1.md", 70_000, True), ("Read", "/big", 3_000_000, False)], "tool string, path string, size long, has_limit boolean")
+    ev = spark.createDataFrame([("Read", "/a.pdf", 1, False), ("Edit", "/a.pdf", 1, False), ("Read", "/x/.docstore/d/sections/1.md", 70_000, True), ("Read", "/big", 3_000_000, False)], "tool string, path string, size long, has_limit boolean")
     assert [r["decision"] for r in hints.read_guard(ev).collect()] == ["deny", "pass", "pass", "deny"]
 
 
