@@ -16,12 +16,13 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from docloom.llm.common import slices, table
+from docloom.llm.common import release, slices, table
 
 #: Unicode White_Space, which \s means to the library whose ids are matched; letters and numbers of Latin-1.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -50,7 +51,7 @@ class _Pieces(dict):
 class BytePairTokenizer:
     """Encodes texts by ranks, each match of the pattern separately; no special tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_cached: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_cached: int = 150_000):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         pattern = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
         self.split = regex.compile(pattern).findall
@@ -141,6 +142,12 @@ def default_vocabulary() -> tuple[str, str]:
 OUTPUTS = {"n_tokens": (T.LongType(), pa.int64()), "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), "ids_sha256": (T.StringType(), pa.string()), "decoded_sha256": (T.StringType(), pa.string()), "round_trip": (T.BooleanType(), pa.bool_())}
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
 def encode_documents(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids"), text_col: str = "text", vocabulary: tuple[str, str] | None = None, keep_text: bool = False) -> DataFrame:
     """docs without text_col (unless keep_text) and with the outputs, any of OUTPUTS. The decoded bytes come from decode()."""
     rest = [c for c in docs.columns if c not in outputs and (keep_text or c != text_col)]
@@ -154,15 +161,15 @@ def encode_documents(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "i
         tok = tokenizer(*(vocabulary or default_vocabulary()))
         decoder = {str(i): b for i, b in tok.bytes_of.items()}.__getitem__
         for whole in batches:
-            for batch in slices(whole, text_at) if whole.num_rows else [whole]:
+            for batch in slices(whole, text_at, 1_000_000) if whole.num_rows else [whole]:
                 got: dict[str, list] = {name: [] for name in outputs}
                 for text in batch.column(text_at).to_pylist():
                     joined = tok.encode_joined(text or "")
                     ids = joined.split()
                     if "n_tokens" in got:
                         got["n_tokens"].append(len(ids))
-                    if "ids" in got:
-                        got["ids"].append(list(map(int, ids)))
+                    if "ids" in got:  # as 4-byte numbers, never as Python's
+                        got["ids"].append(np.fromiter(map(int, ids), np.int32, len(ids)))
                     if "ids_sha256" in got:
                         got["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
                     if "decoded_sha256" in got or "round_trip" in got:
@@ -171,7 +178,10 @@ def encode_documents(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "i
                             got["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
                         if "round_trip" in got:
                             got["round_trip"].append(decoded == (text or "").encode())
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(got[n], OUTPUTS[n][1]) for n in outputs], names=[*rest, *outputs])
+                made = [_lists(got[n]) if n == "ids" else pa.array(got[n], OUTPUTS[n][1]) for n in outputs]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + made, names=[*rest, *outputs])
+        tok.cache.clear()  # the tokenizer lives on in its worker
+        release()
 
     return source.mapInArrow(run, schema)
 

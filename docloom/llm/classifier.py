@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import slices, table
+from docloom.llm.common import release, slices, table
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 13, 32, 4, 2
 MOST_ROWS = 20_000
@@ -45,7 +45,7 @@ class Tokens(dict):
         out = [xxhash.xxh3_64_intdigest(p.lower().encode()) % BUCKETS for p in parts]
         if len(word) > 2 and word.isupper():
             out.append(xxhash.xxh3_64_intdigest(b"\0capitals") % BUCKETS)
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = tuple(out)
         return value
@@ -68,8 +68,8 @@ def _neighbours(ids: list[np.ndarray], total: np.ndarray, index: np.ndarray) ->
     gap = np.full(REACH, -1, np.int64)
     flat = np.concatenate([x for d in ids for x in (d, gap)])
     signs = np.concatenate([index, np.zeros((1, DIMS), np.int64)]).astype(np.int8)  # row -1: outside
-    for start in range(0, len(flat), 200_000):
-        own = flat[start : start + 200_000]
+    for start in range(0, len(flat), 50_000):
+        own = flat[start : start + 50_000]
         around = np.zeros((len(own), DIMS), np.int8)
         for k in range(1, REACH + 1):
             for shifted in (flat[max(0, start - k) : start - k + len(own)] if start >= k else np.concatenate([gap[:k], flat[: len(own) - k]]), flat[start + k : start + k + len(own)]):
@@ -98,6 +98,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         if seen:
             live = [k for k in range(0, BUCKETS, CHUNK) if total[k : k + CHUNK].any()]
             yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([_packed(total[k : k + CHUNK]) for k in live], pa.binary())], names=["chunk", "sums"])
+        release()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -129,8 +130,8 @@ def pooled(tokens: Tokens, vectors: np.ndarray, text: str | None) -> np.ndarray:
     if not len(ids):
         return np.zeros(DIMS, np.float32)
     total = np.zeros(DIMS, np.float64)
-    for k in range(0, len(ids), 100_000):
-        total += vectors[ids[k : k + 100_000]].sum(0, dtype=np.float64)
+    for k in range(0, len(ids), 20_000):
+        total += vectors[ids[k : k + 20_000]].sum(0, dtype=np.float64)
     return (total / len(ids)).astype(np.float32)
 
 
@@ -218,6 +219,7 @@ def classify(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
                 x = np.array([pooled(tokens, shared.value, t) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, DIMS)
                 s = net.score(x)
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[*rest, "score", "predicted"])
+        release()
 
     schema = T.StructType([docs.schema[c] for c in rest]).add("score", T.DoubleType()).add("predicted", T.IntegerType())
     return docs.select(*rest).mapInArrow(score, schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Texts are long: this many rows to an Arrow batch, unless the session says otherwise than Spark's own 10,000.
+ARROW_ROWS = "500"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,10 +64,18 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def release() -> None:
+    """Gives what a finished task has freed back to the system; Python workers live on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class WordHash(dict):
     """word -> 64-bit hash; forgets all when full, so memory stays bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -68,7 +86,7 @@ class WordHash(dict):
         return value
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `most` bytes of text at most, one row at least."""
     sizes = batch.column(text).cast(pa.large_string())
     at = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import slices, table, words_of
+from docloom.llm.common import release, slices, table, words_of
 
 WINDOW, LEAST_SHARE = 5, 0.8
 BLOCK_ITEMS = 20_000
@@ -64,7 +64,7 @@ class Templates(dict):
     """word -> (hash of its template token, slot value); forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         token, _ = canonical(word)
         value = self[word] = xxhash.xxh3_64_intdigest(token.encode())
@@ -192,6 +192,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
                     if "__held" in batch.schema.names:
                         held = [a + b for a, b in zip(batch.column("__held").to_pylist(), held, strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(held, arrow_item)], names=[*rest, "__held"])
+            release()
 
         return df.mapInArrow(run, schema)
 

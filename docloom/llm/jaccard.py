@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WordHash, forget, keep, slices, table, words_of
+from docloom.llm.common import WordHash, forget, keep, release, slices, table, words_of
 from docloom.llm.hashing import Rolling, mix
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9995
@@ -183,6 +183,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int =
                 sets = [shingles.of(t) for t in batch.column("text").to_pylist()]
                 got = [band_hashes(s, bands, rows).view(np.int64) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "a", "b")] + [pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "a", "b", "bands"])
+        release()
 
     signed = keep(own.mapInArrow(sign, "doc_id bigint, a bigint, b bigint, bands array<bigint>"), "signed")
     live = signed.where("doc_id IS NOT NULL AND bands IS NOT NULL")
@@ -212,6 +213,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int =
                         yield _dealt(out)
                         out = []
                 yield _dealt(out)
+        release()
 
     with_text = own.select("doc_id", "a", "text").join(_small(member.withColumnRenamed("rep", "doc_id"), "size(buckets)"), ["doc_id", "a"]).select("doc_id", "text", "buckets")
     dealt = with_text.mapInArrow(deal, "band int, h bigint, lo int, hi int, side int, rep bigint, sig binary, shingles binary").repartition("band", "h", "lo", "hi").sortWithinPartitions("band", "h", "lo", "hi", "rep")

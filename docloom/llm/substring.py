@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WordHash, forget, keep, slices, table, words_of
+from docloom.llm.common import WordHash, forget, keep, release, slices, table, words_of
 from docloom.llm.hashing import Bloom, Rolling, mix, sliding_min
 
 LENGTH, ANCHOR = 50, 20
@@ -149,6 +149,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
                 got = [np.unique(windows.anchors(windows.tokens(t))[0]) for t in batch.column("text").to_pylist()]
                 doc = np.repeat(batch.column("doc_id").to_numpy(), [len(g) for g in got]) if got else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)), pa.array(doc, pa.int64())], names=["anchor", "doc_id"])
+        release()
 
     found = unique.mapInArrow(anchors, "anchor bigint, doc_id bigint").groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     found = keep(found, "anchors")
@@ -168,6 +169,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
                         rows.append((one[at].view(np.int64), two[at].view(np.int64), np.full(len(at), doc), np.full(len(at), k), at.astype(np.int32)))
                 cols = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "doc_id", "k", "pos"])
+        release()
 
     # kept, as both the owners and the rows that look theirs up need it; the owners too, so that the join's two sides are
     # plain exchanges, whose large partitions Spark splits when a window fills them
