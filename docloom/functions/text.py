@@ -86,7 +86,7 @@ def bit_low(text: Column) -> Column:
 
 
 def split_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\s*,\s*|\s+and\s+"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"\s*,\s*|\s+and\s+"), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def squeezed(text: Column) -> Column:
