@@ -45,3 +45,10 @@ def read_guard(events: DataFrame) -> DataFrame:
         .when((F.col("size") > LARGE_FILE) & ~F.col("has_limit"), "large file")
     )
     return events.withColumn("reason", reason).withColumn("decision", F.when(F.col("reason").isNull(), "pass").otherwise("deny"))
+
+
+def announce(docs: DataFrame) -> DataFrame:
+    """One line on what a session can look up: documents (id, kind, pages) in order. A handful of rows for each corpus."""
+    line = F.concat(F.col("id"), F.lit(" ("), F.col("kind"), F.lit(", "), F.col("pages").cast("string"), F.lit(" pages)"))
+    every = docs.agg(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))).alias("d"))
+    return every.where(F.size("d") > 0).select(F.concat(F.lit("documents: "), F.array_join(F.transform("d", lambda x: x["l"]), "; ")).alias("announcement"))

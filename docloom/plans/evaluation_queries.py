@@ -77,6 +77,7 @@ QUERIES = {
     "build_freshness": _stale,
     "manifest_upsert": _manifest,
     "document_tree": _tree,
+    "session_announce": lambda s, d: H.announce(A.table(s, d, "nation").select(F.col("n_name").alias("id"), F.lit("manual").alias("kind"), F.col("n_regionkey").alias("pages"))),
 }
 
 _PROMPTS = "pr AS (SELECT conv_id || '-' || turn AS prompt_id, 'What does R' || ((conv_id * 7 + turn) % (SELECT count(*) FROM part)) || '_CTRL do in the USB part of P' || (conv_id % 1000) || '? ' || coalesce(text, '') AS prompt FROM conversations WHERE role = 'user')"
@@ -108,6 +109,7 @@ list_sort(list(tokens_total))[count(*) // 2 + 1] AS tokens_median, round(avg(tur
     "eval_wrong": f"WITH {_EV} SELECT mode, string_agg(id, ', ' ORDER BY id) AS ids FROM ev WHERE correct = 0 GROUP BY mode",
     "eval_upsert": f"WITH {_EV} SELECT id, mode, CAST(CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN 7 ELSE correct END AS INT) AS correct, CAST(CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 1000 - CAST(id AS BIGINT) % 1000 ELSE 999 END AS INT) AS place FROM ev",
     "upper_median": "SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median FROM lineitem GROUP BY l_suppkey",
+    "session_announce": "SELECT 'documents: ' || string_agg(n_name || ' (manual, ' || n_regionkey || ' pages)', '; ' ORDER BY n_name) AS announcement FROM nation",
     "build_freshness": "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 = 0 OR doc_id % 9 = 0",
     "manifest_upsert": "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS state FROM documents",
 }

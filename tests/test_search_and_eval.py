@@ -133,6 +133,12 @@ def test_hints_and_guard(spark):
     assert [r["decision"] for r in hints.read_guard(ev).collect()] == ["deny", "pass", "pass", "deny"]
 
 
+def test_announce(spark):
+    docs = spark.createDataFrame([("b", "errata", 3), ("a", "manual", 9)], "id string, kind string, pages int")
+    assert hints.announce(docs).first()[0] == "documents: a (manual, 9 pages); b (errata, 3 pages)"
+    assert hints.announce(docs.limit(0)).count() == 0
+
+
 def test_stream(spark, tmp_path):
     regs = spark.createDataFrame([("rp", "GPIO0_CTRL", "IO", "0x4", "2.1", 7, 1)], "doc_id string, name string, peripheral string, offset string, section string, page int, block_ix long")
     (tmp_path / "in").mkdir()
