@@ -51,7 +51,7 @@ class _Pieces(dict):
 class BytePairTokenizer:
     """Encodes texts by ranks, each match of the pattern separately; no special tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_cached: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_cached: int = 400_000):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         pattern = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
         self.split = regex.compile(pattern).findall
@@ -180,7 +180,6 @@ def encode_documents(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "i
                             got["round_trip"].append(decoded == (text or "").encode())
                 made = [_lists(got[n]) if n == "ids" else pa.array(got[n], OUTPUTS[n][1]) for n in outputs]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + made, names=[*rest, *outputs])
-        tok.cache.clear()  # the tokenizer lives on in its worker
         release()
 
     return source.mapInArrow(run, schema)
