@@ -93,7 +93,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
 
 
 def listed_urls(spark: SparkSession) -> DataFrame:
-    """A block list of canonical URLs made by rule: each listed site under each domain, all languages and page numbers."""
+    """A block list of canonical URLs made by rule: each listed site under each domain, all LANGUAGES, page numbers 0 to
+    LISTED_PAGES - 1 only (72,000 URLs). Pages of listed sites with larger numbers aren't listed: they are allowed where
+    no rule decides. At sf0.1, where numbers run to 9,992, that lets through 98 of 107 such pages.
+    """
     sites = spark.range(len(SITES) * len(DOMAINS) * len(LANGUAGES) * LISTED_PAGES, numPartitions=4)
 
     def pick(values: list[str], divisor: int) -> Column:
