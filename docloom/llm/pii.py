@@ -55,8 +55,8 @@ PATTERNS = {
     "name": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?|(?:{_GIVEN})(?!\p{{L}})(?: \p{{Lu}}\p{{L}}+)?)",
 }
 _ALL = "(" + "|".join(PATTERNS.values()) + ")"
-#: Only texts with one of these can hold anything but names.
-_HINT = "[0-9@=:]"
+#: Only texts with one of these can hold anything but names; an access key may be of letters alone.
+_HINT, _ACCESS = "[0-9@=:]", "AKIA"
 _SECRET = r"^(.*?[=:] ?\"?)([A-Za-z0-9_+/-]+)$"
 MARK, ESC = "\ue000", "\ue002"
 
@@ -196,7 +196,7 @@ def _is_title(token: Column) -> Column:
 def marked(docs: DataFrame) -> DataFrame:
     """Adds __pieces: text outside and inside entities by turns (those at odd places, from 0, were found)."""
     safe = F.replace(F.replace(F.col("text"), F.lit(ESC), F.lit(ESC + "b")), F.lit(MARK), F.lit(ESC + "a"))
-    return docs.withColumn("__pieces", F.split(F.when(F.col("text").rlike(_HINT), F.regexp_replace(safe, _ALL, f"{MARK}$1{MARK}")).otherwise(F.regexp_replace(safe, f"({PATTERNS['name']})", f"{MARK}$1{MARK}")), MARK))
+    return docs.withColumn("__pieces", F.split(F.when(F.col("text").rlike(_HINT) | F.col("text").contains(_ACCESS), F.regexp_replace(safe, _ALL, f"{MARK}$1{MARK}")).otherwise(F.regexp_replace(safe, f"({PATTERNS['name']})", f"{MARK}$1{MARK}")), MARK))
 
 
 def _entities(docs: DataFrame) -> DataFrame:
