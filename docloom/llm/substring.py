@@ -13,7 +13,7 @@ doc_id. Three steps find the passages that can matter, so that no document meets
 Then owners' runs are the reference passages. They are dealt out by owner, so each owner's automaton stands in one task
 (more if many documents run past it) and no larger than that document; the runs of other documents follow it there, one
 at a time. The automata aren't broadcast whole, because the reference grows with the corpus. A match of LENGTH or more
-words marks its words; only what the automaton matches word by word is removed.
+words marks its words; but for the copies of step 1 only what the automaton matches word by word is removed.
 
 Defined results: a null text has no words; a null doc_id neither is removed from nor refers; rows with one doc_id are
 judged each by its own text, and never against each other; empty tables give no rows; other columns are ignored.
