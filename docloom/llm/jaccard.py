@@ -1,7 +1,8 @@
 """N-gram Jaccard join: MinHash banding, a shuffle on band hashes, and pairs verified on full n-gram sets.
 
-Shingles are five consecutive words; a text of fewer words is one shingle. Rows of one doc_id and texts that are equal
-form one copy class, whose representative is the least doc_id. Of a class, `bands` hashes of `rows` minima each are
+Shingles are five consecutive words; a text of fewer words is one shingle. Rows of equal texts form one copy class, whose
+representative is the least doc_id. A class is known by its representative and a 128-bit hash of its text, so different
+texts of one doc_id are classes of their own. Of a class, `bands` hashes of `rows` minima each are
 kept; numbers are chosen so that a pair at the threshold shares a band with the target recall.
 
 Classes that share a band hash form a bucket. Buckets with the same members (near copies share many bands) are joined
@@ -12,7 +13,8 @@ first bucket that both are in, so links are exact and counted once. Class ids ar
 found by joins that keep their edges in the shared folder.
 
 Defined results: texts without words (null, empty) link to nothing, not even each other, and are classes of their own;
-a null doc_id gets a null class and no links; repeated rows fall into one class; empty tables give no rows; other columns
+a null doc_id gets a null class and no links; repeated rows fall into one class; different texts under one doc_id are
+linked and classed each by itself; empty tables give no rows; other columns
 are ignored.
 """
 
@@ -33,6 +35,7 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9995
 MOST_BANDS, BLOCK = 16, 256
 #: Values up to this number (some 40 MB) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 400_000
+CLASS = "struct<rep: bigint, a: bigint, b: bigint>"
 
 
 def choose_bands(threshold: float, recall: float, most_bands: int = MOST_BANDS) -> tuple[int, int]:
@@ -106,7 +109,7 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return total[[at[k] for k in i.tolist()], [at[k] for k in j.tolist()]].astype(np.int64)
 
 
-def verify(ids: list[int], bands: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, band: int, threshold: float) -> list[tuple[int, int, int]]:
+def verify(ids: list, bands: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, band: int, threshold: float) -> list[tuple]:
     """(id, root, links) of linked members. sides: a pair counts if both are of the one block, or one of either.
 
     sides holds 0 for members of the lower block and 1 for those of the upper; all 0 where a block meets itself.
@@ -190,10 +193,10 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     classes = keep(live.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")), "classes")
 
     # buckets of two or more; of those with the same members, the one of the first band
-    keyed = classes.select("rep", "a", F.posexplode("bands").alias("band", "h"))
-    size = keyed.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s1"), F.expr("bit_xor(xxhash64(rep, 7))").alias("s2")).where("n > 1")
+    keyed = classes.select("rep", "a", "b", F.posexplode("bands").alias("band", "h"))
+    size = keyed.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep", "a", "b").cast("decimal(38,0)")).alias("s1"), F.expr("bit_xor(xxhash64(rep, a, b, 7))").alias("s2")).where("n > 1")
     chosen = size.groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "h")).alias("x")).select("x.band", "x.h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    member = keyed.join(chosen, ["band", "h"]).groupBy("rep", "a").agg(F.collect_list(F.struct("band", "h", "blocks")).alias("buckets"))  # a row for each band at most
+    member = keyed.join(chosen, ["band", "h"]).groupBy("rep", "a", "b").agg(F.collect_list(F.struct("band", "h", "blocks")).alias("buckets"))  # a row for each band at most
     member = keep(member, "members")
 
     # shingle sets of the classes in such buckets, dealt to the tasks of their pairs of blocks
@@ -202,21 +205,21 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         for whole in batches:
             for batch in slices(whole, "text", 500_000) if whole.num_rows else [whole]:
                 out: list[tuple] = []
-                for rep, text, buckets in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "buckets")), strict=True):
+                for rep, a, b, text, buckets in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "a", "b", "text", "buckets")), strict=True):
                     s = shingles.of(text)
                     raw, sig = s.tobytes(), band_hashes(s, bands, rows).tobytes()
                     for x in buckets:
                         n = x["blocks"]
-                        mine = int(mix(np.array([rep], np.int64).view(np.uint64))[0] % np.uint64(n))
-                        out += [(x["band"], x["h"], min(mine, k), max(mine, k), int(mine > k), rep, sig, raw) for k in range(n)]
-                    if sum(len(r[7]) for r in out[-64:]) > 1 << 22 or len(out) > 2000:
+                        mine = int(mix(np.array([a], np.int64).view(np.uint64))[0] % np.uint64(n))
+                        out += [(x["band"], x["h"], min(mine, k), max(mine, k), int(mine > k), rep, a, b, sig, raw) for k in range(n)]
+                    if sum(len(r[9]) for r in out[-64:]) > 1 << 22 or len(out) > 2000:
                         yield _dealt(out)
                         out = []
                 yield _dealt(out)
         release()
 
-    with_text = own.select("doc_id", "a", "text").join(_small(member.withColumnRenamed("rep", "doc_id"), "size(buckets)"), ["doc_id", "a"]).select("doc_id", "text", "buckets")
-    dealt = with_text.mapInArrow(deal, "band int, h bigint, lo int, hi int, side int, rep bigint, sig binary, shingles binary").repartition("band", "h", "lo", "hi").sortWithinPartitions("band", "h", "lo", "hi", "rep")
+    with_text = own.join(_small(member.withColumnRenamed("rep", "doc_id"), "size(buckets)"), ["doc_id", "a", "b"]).select("doc_id", "a", "b", "text", "buckets")
+    dealt = with_text.mapInArrow(deal, "band int, h bigint, lo int, hi int, side int, rep bigint, a bigint, b bigint, sig binary, shingles binary").repartition("band", "h", "lo", "hi").sortWithinPartitions("band", "h", "lo", "hi", "rep")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, {}, []
@@ -233,27 +236,27 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int =
                 out.extend(verify(ids, sig, [np.frombuffer(group[k][2], np.uint64) for k in ids], sides, key[0], threshold))
 
         for batch in batches:
-            for band, h, lo, hi, side, rep, sig, raw in zip(*(batch.column(c).to_pylist() for c in ("band", "h", "lo", "hi", "side", "rep", "sig", "shingles")), strict=True):
+            for band, h, lo, hi, side, rep, a, b, sig, raw in zip(*(batch.column(c).to_pylist() for c in ("band", "h", "lo", "hi", "side", "rep", "a", "b", "sig", "shingles")), strict=True):
                 if (band, h, lo, hi) != key:
                     close()
                     key, group = (band, h, lo, hi), {}
-                group[rep] = (side, sig, raw)
+                group[rep, a, b] = (side, sig, raw)
             if len(out) > 5000:
                 yield _linked(out)
                 out = []
         close()
         yield _linked(out)
 
-    linked = keep(dealt.mapInArrow(join, "rep bigint, root bigint, links bigint"), "links")
-    found = components(linked, "rep", "root")
-    links = linked.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    info = classes.select("a", "b", "rep", "n_copies").join(links, "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    info = info.select("a", "b", F.col("rep").alias("rep_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
+    linked = keep(dealt.mapInArrow(join, f"id {CLASS}, root {CLASS}, links bigint"), "links")
+    found = components(linked, "id", "root")  # a component's least class has its least doc_id
+    links = linked.groupBy("id").agg(F.sum("links").alias("n_links"))
+    info = classes.select(F.struct("rep", "a", "b").alias("id"), "a", "b", "rep", "n_copies").join(links, "id", "left").join(found, "id", "left")
+    info = info.select("a", "b", F.col("rep").alias("rep_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("least"))
     out = signed.select("doc_id", "a", "b", F.col("bands").isNotNull().alias("worded")).join(info, ["a", "b"], "left")
     known = F.col("worded") & F.col("doc_id").isNotNull()
     return out.select(
         "doc_id",
-        F.when(known, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(known, F.col("least.rep")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(known, F.col("n_links")).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
         F.when(known, F.col("n_copies")).otherwise(F.lit(1)).cast("bigint").alias("n_copies"),
         F.when(known, F.col("rep_id")).otherwise(F.col("doc_id")).alias("rep_id"),
@@ -261,14 +264,18 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
 
 def _dealt(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["band", "h", "lo", "hi", "side", "rep", "sig", "shingles"])
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["band", "h", "lo", "hi", "side", "rep", "a", "b", "sig", "shingles"])
 
 
 def _linked(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rep", "root", "links"])
+    ids, roots, links = zip(*rows, strict=True) if rows else [[]] * 3
+
+    def classes(of: list[tuple[int, int, int]]) -> pa.StructArray:
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in of], pa.int64()) for k in range(3)], names=["rep", "a", "b"])
+
+    return pa.RecordBatch.from_arrays([classes(ids), classes(roots), pa.array(links, pa.int64())], names=["id", "root", "links"])
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

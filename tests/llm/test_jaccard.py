@@ -78,6 +78,14 @@ def test_odd_rows(spark):
     assert J.jaccard_classes(df.limit(0)).count() == 0
 
 
+def test_different_texts_of_one_doc_id(spark):
+    t, u = " ".join(f"t{k}" for k in range(60)), " ".join(f"u{k}" for k in range(60))
+    rows = [(5, t), (5, t + " end"), (5, u), (5, u), (7, t + " more"), (8, u + " end"), (3, u + " more")]
+    out = J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    have = Counter((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"], r["rep_id"]) for r in out)
+    assert have == Counter({(5, 5, 2, 1, 5): 2, (7, 5, 2, 1, 7): 1, (5, 3, 2, 2, 5): 2, (8, 3, 2, 1, 8): 1, (3, 3, 2, 1, 3): 1})
+
+
 def test_bands():
     b, r = J.choose_bands(0.8, 0.9995)
     assert 1 - (1 - 0.8**r) ** b >= 0.9995 and b <= J.MOST_BANDS
