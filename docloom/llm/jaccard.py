@@ -176,6 +176,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     class_id is the least doc_id of the component; n_links counts the different texts that the row's text is linked to;
     n_copies the rows of the row's own text; rep_id is the least doc_id with the row's text.
     """
+    return _classed(docs, threshold, width, recall).drop("a", "b", "least")
+
+
+def _classed(docs: DataFrame, threshold: float, width: int, recall: float) -> DataFrame:
+    """What jaccard_classes gives, with the row's text hash (a, b) and its component's least class (null without one)."""
     bands, rows = choose_bands(threshold, recall)
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
 
@@ -260,6 +265,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         F.when(known, F.col("n_links")).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
         F.when(known, F.col("n_copies")).otherwise(F.lit(1)).cast("bigint").alias("n_copies"),
         F.when(known, F.col("rep_id")).otherwise(F.col("doc_id")).alias("rep_id"),
+        "a",
+        "b",
+        F.when(known, F.col("least")).alias("least"),
     )
 
 
@@ -283,9 +291,22 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The pipeline's second stage: of each class the document with the least doc_id stays."""
-    gone = keep(jaccard_classes(docs.select("doc_id", "text")).where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    return docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The pipeline's second stage: of each class the document with the least doc_id stays, one row of it.
+
+    Where that doc_id has several texts in the class, one of them stays; of rows that repeat its doc_id and text, any one.
+    Rows without a class (a null doc_id, no words) all stay.
+    """
+    key = ["doc_id", "__a", "__b"]
+    rows = keep(_classed(docs.select("doc_id", "text"), THRESHOLD, SHINGLE, RECALL).where("least IS NOT NULL").select("doc_id", F.col("a").alias("__a"), F.col("b").alias("__b"), "n_copies", "least"), "rows")
+    first = (F.col("doc_id") == F.col("least.rep")) & (F.col("__a") == F.col("least.a")) & (F.col("__b") == F.col("least.b"))
+    gone = keep(rows.where(~first).select(key).distinct(), "gone")
+    again = keep(rows.where(first & (F.col("n_copies") > 1)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "again")
+    forget(rows)
+    own = docs.withColumns({"__a": F.xxhash64("text"), "__b": F.xxhash64(F.lit(1), "text")}).join(_small(gone, "3"), key, "left_anti")
+    if again.limit(1).count():
+        small = _small(again, "3")
+        own = own.join(small, key, "left_anti").unionByName(own.join(small, key, "left_semi").dropDuplicates(key))
+    return own.select(*docs.columns)
 
 
 #: Banding by MinHash isn't a matter of SQL; the tests compare classes and links with all pairs by brute force.

@@ -102,3 +102,12 @@ def test_stage_keeps_one_of_each(spark):
     df = spark.createDataFrame([(5, t, "a"), (3, t + " end", "b"), (9, "alone", "c"), (None, t, "d"), (10, None, "e")], "doc_id long, text string, lang string")
     out = J.pipeline_near_duplicates(df)
     assert out.columns == df.columns and {r["lang"] for r in out.collect()} == {"b", "c", "d", "e"}
+
+
+def test_stage_keeps_one_row_of_repeated_ones(spark):
+    t, u = " ".join(map(str, range(60))), " ".join(f"u{k}" for k in range(60))
+    rows = [(3, t, "a"), (3, t, "a"), (3, t, "b"), (5, t, "c"), (3, t + " end", "d"), (3, u, "e"), (9, u + " end", "f"), (7, "alone", "g"), (7, "alone", "g"), (None, t, "h"), (None, t, "h"), (8, "", "i"), (8, "", "i")]
+    out = [(r["doc_id"], r["text"]) for r in J.pipeline_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()]
+    first = [x for x in out if x[0] == 3 and x[1].startswith("0 ")]
+    assert len(first) == 1 and first[0][1] in (t, t + " end")
+    assert Counter(x for x in out if x not in first) == Counter({(3, u): 1, (7, "alone"): 1, (None, t): 2, (8, ""): 2})
