@@ -8,11 +8,13 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that parts words (space and 0x09 to 0x0D), as a Java / RE2 class body.
 SPACE = r"\x20\x09-\x0D"
@@ -30,21 +32,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or what the context was given.
+
+    Only where both are unset and everything runs in one process may it be a temporary folder; on a cluster that would
+    scatter the rows over the executors' own disks, so it is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def keep(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    Results are lazy, so what they read must outlive the call; the driver deletes it when it ends, if not forget() before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, system = _file_system(spark, path)
+    system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._docloom_path = path
     return out
@@ -54,9 +71,49 @@ def forget(df: DataFrame) -> None:
     """Deletes what keep() wrote, once nothing reads it any more."""
     path = getattr(df, "_docloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        where, system = _file_system(df.sparkSession, path)
+        system.delete(where, True)
+
+
+#: Bytes of values up to which rows are broadcast; more are joined by a shuffle of the rows that may match.
+MOST_BROADCAST = 32 << 20
+
+
+def join_few(df: DataFrame, few: DataFrame, on: list[str], how: str, cost: str = "0", most: int | None = None) -> DataFrame:
+    """df joined with `few` rows (inner, left or left_anti), so that the wide rows of df move only if they may match.
+
+    few is broadcast if its size (64 bytes a row and what the expression `cost` says) is within the bound. If not, a
+    blocked Bloom filter of its keys, whose size has a bound, is broadcast instead: rows of df that it refuses stay where
+    they are, the others are shuffled and joined exactly. Key columns aren't null in few; null keys in df match nothing.
+    """
+    most = MOST_BROADCAST if most is None else most
+    n, size = few.agg(F.count(F.lit(1)), F.sum(F.expr(f"64L + {cost}"))).first()
+    if (size or 0) <= most:
+        return df.join(F.broadcast(few), on, how)
+    key = F.xxhash64(*[F.col(c) for c in on])
+    tested = with_possible(df.withColumn("__key", key), "__key", few.select(key.alias("key")), n)
+    maybe, rest = tested.where("__possible").drop("__key", "__possible"), tested.where("NOT __possible").drop("__key", "__possible")
+    joined = maybe.join(few, on, how)
+    return joined if how == "inner" else joined.unionByName(rest, allowMissingColumns=True)
+
+
+#: A filter has this many blocks at most (about 20 MB), 512 bits each; blocks hold WORDS words, keys set a bit in each.
+MOST_BLOCKS, WORDS, BITS_A_KEY = 1 << 18, 8, 16
+
+
+def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
+    """A blocked Bloom filter as a table: __block, w0 ... w7. keys has a column key (any type that hashes)."""
+    bits = [f"bit_or(shiftleft(1L, cast(pmod(xxhash64(key, {k}), 64L) as int))) AS w{k}" for k in range(WORDS)]
+    return keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks).cast("bigint")).alias("__block")).agg(*map(F.expr, bits))
+
+
+def with_possible(df: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
+    """df with __possible: false only where the column `key` is none of the n `keys`. The filter's size has a bound."""
+    blocks = max(1, min(MOST_BLOCKS, n * BITS_A_KEY // (64 * WORDS) + 1))
+    own = df.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks).cast("bigint")))
+    tested = own.join(F.broadcast(bloom_blocks(keys, blocks)), "__block", "left")
+    bits = [F.expr(f"(shiftrightunsigned(w{k}, cast(pmod(xxhash64({key}, {k}), 64L) as int)) & 1L) = 1L") for k in range(WORDS)]
+    return tested.withColumn("__possible", F.coalesce(reduce(Column.__and__, bits), F.lit(False))).drop("__block", *[f"w{k}" for k in range(WORDS)])
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -1,3 +1,6 @@
+import pytest
+
+from docloom.llm import common
 from docloom.llm import urlfilter as U
 
 
@@ -22,11 +25,31 @@ def test_no_false_positives_or_negatives(spark):
     assert all((got[k]["verdict"] == "block") == (k % 2 == 0) for k in range(6000))
 
 
-def test_full_filter_stays_exact(spark, monkeypatch):
-    monkeypatch.setattr(U, "MOST_BLOCKS", 1)
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_full_filter_stays_exact(spark, monkeypatch, broadcast):
+    """Too small a filter lets nearly all URLs through, and hits past the bound go back by a shuffle."""
+    monkeypatch.setattr(common, "MOST_BLOCKS", 1)
+    if not broadcast:
+        monkeypatch.setattr(common, "MOST_BROADCAST", 0)
     listed = [f"s{k}.org/{k}" for k in range(0, 600, 2)]
     got = judged(spark, [f"http://s{k}.org/{k}" for k in range(600)], listed)
-    assert all(got[k]["listed"] == (k % 2 == 0) for k in range(600))
+    assert len(got) == 600 and all(got[k]["listed"] == (k % 2 == 0) for k in range(600))
+
+
+def test_odd_rows(spark):
+    """A very long URL, repeated rows and nulls; columns named like the output's."""
+    long = "http://bad.org/" + "p" * 200_000
+    urls = [long, long, None, None, "http://bad.org/x"]
+    pages = spark.createDataFrame([(1, u, "h", "p", "r", True) for u in urls], "page_id long, url string, host string, path string, rule string, listed boolean")
+    out = U.filter_urls(pages, spark.createDataFrame([(long[7:],)], "url string")).collect()
+    assert sorted((len(r["path"]), r["host"], r["rule"], r["listed"], r["verdict"]) for r in out) == [(0, "", None, False, "allow")] * 2 + [(2, "bad.org", None, False, "allow")] + [(200_001, "bad.org", None, True, "block")] * 2
+
+
+def test_list_holds_every_page_of_a_listed_site(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    out = U.filter_urls(pages, U.listed_urls(pages)).collect()
+    on_site = [r for r in out if any(s in r["host"] for s in U.SITES)]
+    assert on_site and all(r["listed"] for r in on_site) and not any(r["listed"] for r in out if r not in on_site)
 
 
 def test_empty(spark):
