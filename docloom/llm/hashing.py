@@ -1,4 +1,4 @@
-"""Rolling hashes of word runs, and a Bloom filter of bounded size that tasks build and tests use."""
+"""Rolling hashes of word runs, and Bloom filters of bounded size that tasks build and use."""
 
 from __future__ import annotations
 
@@ -56,18 +56,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Bloom:
-    """Bits in blocks that tasks build apart; at most MOST_BITS, so it may always be broadcast."""
+    """A Bloom filter in parts that tasks build apart. Past MOST_BITS a set of hashes is told apart into several filters."""
 
-    MOST_BITS, PARTS, HASHES = 1 << 27, 64, 4
+    MOST_BITS, PARTS, HASHES, BITS_A_KEY = 1 << 29, 256, 4, 16
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.n = bits, U(len(bits) * 8)
 
     @staticmethod
     def places(h: np.ndarray, n: np.uint64) -> Iterator[np.ndarray]:
-        """The part of a hash (its top six bits) and the bits in it are taken from different mixes."""
+        """The part of a hash (its top eight bits) and the bits in it are taken from different mixes."""
         a, per = mix(h ^ U(0x5851F42D4C957F2D)), n // U(Bloom.PARTS)
-        start = (a >> U(58)) * per
+        start = (a >> U(56)) * per
         for k in range(Bloom.HASHES):
             yield start + mix(a + U(k * 0x9E3779B97F4A7C15 & _MASK)) % per
 
@@ -77,41 +77,51 @@ class Bloom:
             out &= (self.bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
         return out
 
+    @staticmethod
+    def turn(h: np.ndarray, turns: int) -> np.ndarray:
+        """Which of `turns` filters a hash belongs to."""
+        return (mix(h ^ U(0xC6BC279692B5C323)) % U(turns)).astype(np.int64)
+
     @classmethod
-    def of(cls, df: DataFrame, col: str) -> Bloom:
-        """Of a column of 64-bit numbers. Each task makes whole parts; PARTS pieces of known size reach the driver."""
+    def of(cls, df: DataFrame, col: str) -> list[np.ndarray]:
+        """Filters of a column of distinct 64-bit numbers, BITS_A_KEY bits each: one, or more where one would be too large.
+
+        Hashes are dealt to the tasks by the part of the filter that they set, so each task makes its own part whole and
+        sends it to the driver once: MOST_BITS in all for one filter.
+        """
         n = df.count()
+        turns = max(1, -(-n * cls.BITS_A_KEY // cls.MOST_BITS))
         size = 1 << 16
-        while size < min(cls.MOST_BITS, 16 * n):
+        while size < min(cls.MOST_BITS, cls.BITS_A_KEY * n // turns):
             size *= 2
         per = size // cls.PARTS
 
-        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts: dict[int, np.ndarray] = {}
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 h = b.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-                places = np.concatenate(list(cls.places(h, U(size)))) if len(h) else np.zeros(0, U)
-                part = (places // U(per)).astype(np.int64)
-                for p in np.unique(part).tolist():
-                    flags = parts.setdefault(p, np.zeros(per // 8, np.uint8))
-                    own = places[part == p] - U(p * per)
-                    np.bitwise_or.at(flags, (own >> U(3)).astype(np.int64), np.left_shift(np.uint8(1), (own & U(7)).astype(np.uint8)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([v.tobytes() for v in parts.values()], pa.binary())], names=["part", "bits"])
-
-        own = df.select(F.col(col).cast("bigint").alias("h"))
-        # a fixed number of tasks, whatever the input: each ORs into at most PARTS pieces
-        rows = own.coalesce(cls.PARTS).mapInArrow(build, "part int, bits binary") if n > 200_000 else own.coalesce(4).mapInArrow(build, "part int, bits binary")
-        merged = rows.repartition(16, "part").mapInArrow(_or, "part int, bits binary").collect()
-        bits = np.zeros(size // 8, np.uint8)
-        for r in merged:
-            bits[r["part"] * per // 8 : (r["part"] + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
-        return cls(bits)
-
-
-def _or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: dict[int, np.ndarray] = {}
-    for b in batches:
-        for p, raw in zip(b.column("part").to_pylist(), b.column("bits").to_pylist(), strict=True):
-            bits = np.frombuffer(raw, np.uint8)
-            parts[p] = parts[p] | bits if p in parts else bits
-    yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([v.tobytes() for v in parts.values()], pa.binary())], names=["part", "bits"])
+                part = (mix(h ^ U(0x5851F42D4C957F2D)) >> U(56)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(cls.turn(h, turns)), pa.array(part)], names=["h", "turn", "part"])
+
+        def build(turn: int):  # noqa: ANN202
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                parts: dict[int, np.ndarray] = {}
+                for b in batches:
+                    h, of = b.column("h").to_numpy(zero_copy_only=False).view(U), b.column("part").to_numpy(zero_copy_only=False)
+                    for p in np.unique(of).tolist():
+                        flags = parts.setdefault(p, np.zeros(per // 8, np.uint8))
+                        for own in cls.places(h[of == p], U(size)):
+                            own = own - U(p * per)
+                            np.bitwise_or.at(flags, (own >> U(3)).astype(np.int64), np.left_shift(np.uint8(1), (own & U(7)).astype(np.uint8)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([v.tobytes() for v in parts.values()], pa.binary())], names=["part", "bits"])
+
+            return run
+
+        dealt = df.select(F.col(col).cast("bigint").alias("h")).mapInArrow(deal, "h bigint, turn bigint, part bigint")
+        out = []
+        for turn in range(turns):
+            bits = np.zeros(size // 8, np.uint8)
+            own = dealt.where(F.col("turn") == turn).repartition("part").mapInArrow(build(turn), "part bigint, bits binary")
+            for r in own.collect():  # PARTS pieces, MOST_BITS in all at most
+                bits[r["part"] * per // 8 : (r["part"] + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
+            out.append(bits)
+        return out

@@ -6,35 +6,40 @@ doc_id. Three steps find the passages that can matter, so that no document meets
 1. A document whose whole text equals that of a smaller doc_id is a copy: all its windows start there (an exact hash
    of the text, summed map-side). Copies need no automaton and aren't references.
 2. Anchors: each window's least hash of ANCHOR words. Two documents that share a window share its anchor. Anchors of two
-   or more documents go into a Bloom filter of bounded size.
-3. Windows whose anchor is in the filter are summed to their least doc_id, the owner. Consecutive windows with one owner
-   are a run.
+   or more documents go into a Bloom filter; past its bound there are several, and the texts are read once for each.
+3. Windows whose anchor is in the filter are summed by a 128-bit hash to their least doc_id, the owner. Consecutive
+   windows with one owner are a run.
 
 Then owners' runs are the reference passages. They are dealt out by owner, so each owner's automaton stands in one task
 (more if many documents run past it) and no larger than that document; the runs of other documents follow it there, one
-at a time. The automata aren't broadcast whole, because the reference grows with the corpus. A match of LENGTH or more
-words marks its words; but for the copies of step 1 only what the automaton matches word by word is removed.
+at a time. A match of LENGTH or more words marks its words; but for the copies of step 1 only what the automaton matches
+word by word is removed.
 
-Defined results: a null text has no words; a null doc_id neither is removed from nor refers; rows with one doc_id are
-judged each by its own text, and never against each other; empty tables give no rows; other columns are ignored.
+This departs from the method as named in two points. The reference passages grow with the corpus, so their automata can't
+be broadcast: they are dealt by owner, and the filter is what is broadcast. And which run meets which owner is decided
+beforehand by the join on window hashes: the automata confirm those runs word by word and give the spans, they don't
+search the corpus. Streaming every document past every shard's automaton would read the corpus once for each shard.
+
+Defined results: a null text has no words; a null doc_id neither is removed from nor refers; a very long text is read
+whole; rows with one doc_id are judged each by its own text, and never against each other; repeated rows are judged
+alike; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WordHash, forget, keep, release, slices, table, words_of
+from docloom.llm.common import WordHash, forget, join_few, keep, release, slices, table, words_of
 from docloom.llm.hashing import Bloom, Rolling, mix, sliding_min
 
 LENGTH, ANCHOR = 50, 20
-#: Values up to this number (some 40 MB) are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 400_000
 #: Runs that one copy of an owner's automaton serves.
 MOST_RUNS = 2_000
 
@@ -125,11 +130,6 @@ class Windows:
         return self.one.runs(prefix, self.length), self.two.runs(self.two.prefix(mix(tokens)), self.length)
 
 
-def _small(df: DataFrame, cost: str = "1") -> DataFrame:
-    """df, to be broadcast if its summed cost (values of a row, about) is within the bound."""
-    return F.broadcast(df) if (df.agg(F.sum(F.expr(cost))).first()[0] or 0) <= MOST_BROADCAST else df
-
-
 def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, text, removed (sorted [start, end) word spans) for every row of docs."""
     spark = docs.sparkSession
@@ -138,7 +138,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
     ids = own.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "__a", "__b")
     first = ids.groupBy("__a", "__b").agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last")).where("__first < __last").drop("__last")
     copies = keep(ids.join(first, ["__a", "__b"]).where("doc_id > __first").select("doc_id", "__a", "__b").distinct(), "copies")
-    marked = own.join(_small(copies.withColumn("__copy", F.lit(True))), ["doc_id", "__a", "__b"], "left").select("doc_id", "text", F.col("__a").alias("k"), F.coalesce("__copy", F.lit(False)).alias("__copy"))
+    marked = join_few(own, copies.withColumn("__copy", F.lit(True)), ["doc_id", "__a", "__b"], "left").select("doc_id", "text", F.col("__a").alias("k"), F.coalesce("__copy", F.lit(False)).alias("__copy"))
     unique = marked.where("NOT __copy AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "k", "text")
 
     # 2: anchors that two or more documents have
@@ -153,27 +153,34 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
 
     found = unique.mapInArrow(anchors, "anchor bigint, doc_id bigint").groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     found = keep(found, "anchors")
-    bloom = spark.sparkContext.broadcast(Bloom.of(found, "anchor").bits)
+    filters = Bloom.of(found, "anchor")
+    forget(found)
 
     # 3: windows that may be shared, and their owners
-    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, test = Windows(length, anchor), Bloom(bloom.value)
-        for whole in batches:
-            for batch in slices(whole, "text", 2_000_000) if whole.num_rows else [whole]:
-                rows: list[tuple[np.ndarray, ...]] = []
-                for doc, k, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k", "text")), strict=True):
-                    tokens = windows.tokens(text)
-                    least, prefix = windows.anchors(tokens)
-                    if len(least) and len(at := np.flatnonzero(test.has(least))):
-                        one, two = windows.pairs(tokens, prefix)
-                        rows.append((one[at].view(np.int64), two[at].view(np.int64), np.full(len(at), doc), np.full(len(at), k), at.astype(np.int32)))
-                cols = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "doc_id", "k", "pos"])
-        release()
+    def windows_of(turn: int):  # noqa: ANN202
+        bloom = spark.sparkContext.broadcast(filters[turn])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows, test = Windows(length, anchor), Bloom(bloom.value)
+            for whole in batches:
+                for batch in slices(whole, "text", 2_000_000) if whole.num_rows else [whole]:
+                    rows: list[tuple[np.ndarray, ...]] = []
+                    for doc, k, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k", "text")), strict=True):
+                        tokens = windows.tokens(text)
+                        least, prefix = windows.anchors(tokens)
+                        if len(least) and len(at := np.flatnonzero(test.has(least) & (Bloom.turn(least, n_turns) == turn) if n_turns > 1 else test.has(least))):
+                            one, two = windows.pairs(tokens, prefix)
+                            rows.append((one[at].view(np.int64), two[at].view(np.int64), np.full(len(at), doc), np.full(len(at), k), at.astype(np.int32)))
+                    cols = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "doc_id", "k", "pos"])
+            release()
+
+        return unique.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, k bigint, pos int")
 
     # kept, as both the owners and the rows that look theirs up need it; the owners too, so that the join's two sides are
     # plain exchanges, whose large partitions Spark splits when a window fills them
-    seen = keep(unique.mapInArrow(windows_of, "h1 bigint, h2 bigint, doc_id bigint, k bigint, pos int"), "windows")
+    n_turns = len(filters)
+    seen = keep(reduce(DataFrame.unionByName, map(windows_of, range(n_turns))), "windows")
     owners = seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("__last")).where("owner < __last").drop("__last")
     owners = keep(owners, "owners")
     placed = seen.join(owners, ["h1", "h2"]).groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "owner")).alias("at"))
@@ -208,10 +215,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
                 cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["owner", "doc_id", "k", "start", "words"])
 
-    with_text = unique.join(_small(placed, "1 + size(runs)"), ["doc_id", "k"]).select("doc_id", "k", "text", "runs")
+    with_text = join_few(unique, placed, ["doc_id", "k"], "inner", "16L * size(runs)").select("doc_id", "k", "text", "runs")
     parts = with_text.mapInArrow(pieces, "owner bigint, doc_id bigint, k bigint, start int, words string")
     served = placed.select(F.col("doc_id").alias("__d"), F.explode("runs").alias("r")).where("r.owner <> __d").groupBy(F.col("r.owner").alias("owner")).agg(F.count(F.lit(1)).alias("n")).select("owner", F.ceil(F.col("n") / MOST_RUNS).cast("int").alias("__shares")).where("__shares > 1")
-    shared = parts.join(_small(served), "owner", "left").withColumn("__shares", F.coalesce("__shares", F.lit(1)))
+    shared = join_few(parts, served, ["owner"], "left").withColumn("__shares", F.coalesce("__shares", F.lit(1)))
     reference = F.col("owner") == F.col("doc_id")
     dealt = shared.withColumn("__share", F.explode(F.when(reference, F.sequence(F.lit(0), F.col("__shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("__shares")).cast("int")))))
     dealt = dealt.select("owner", "__share", (~reference).cast("int").alias("later"), "doc_id", "k", "start", "words").repartition("owner", "__share").sortWithinPartitions("owner", "__share", "later", "doc_id", "start")
@@ -232,7 +239,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
 
     matched = dealt.mapInArrow(match, "doc_id bigint, k bigint, start int, stop int")
     removed = keep(matched.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")), "spans")
-    return marked.join(_small(removed, "1 + size(spans)"), ["doc_id", "k"], "left").select("doc_id", "text", "__copy", "spans")
+    return join_few(marked, removed, ["doc_id", "k"], "left", "8L * size(spans)").select("doc_id", "text", "__copy", "spans")
 
 
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"

@@ -3,8 +3,10 @@ from collections import defaultdict
 
 import numpy as np
 
+from docloom.llm import common
 from docloom.llm import substring as S
 from docloom.llm.common import words_of
+from docloom.llm.hashing import Bloom
 
 
 def brute(rows, length):
@@ -67,9 +69,23 @@ def test_hot_passage_is_shared_out(spark, monkeypatch):
 
 
 def test_shuffled_path(spark, monkeypatch):
-    monkeypatch.setattr(S, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
     hot = " ".join(f"h{i}" for i in range(70))
-    rows = [(k, f"a{k} {hot}") for k in range(20)] + [(50 + k, hot) for k in range(5)]
+    rows = [(k, f"a{k} {hot}") for k in range(20)] + [(50 + k, hot) for k in range(5)] + [(90 + k, f"alone {k}") for k in range(30)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 50)
+
+
+def test_several_filters(spark, monkeypatch):
+    """More anchors than one filter may hold: the texts are read once for each filter, and nothing is lost."""
+    monkeypatch.setattr(Bloom, "MOST_BITS", 256)
+    words = [" ".join(f"w{k}_{i}" for i in range(55)) for k in range(40)]
+    rows = [(k, f"a{k} {words[k % 40]} b{k}") for k in range(120)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 50)
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    long = " ".join(f"v{i % 70_001}" for i in range(200_000))
+    rows = [(1, "q " + long), (2, long), (2, long), (3, long[:900] + " end")]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 50)
 
 
