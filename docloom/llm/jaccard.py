@@ -6,16 +6,17 @@ texts of one doc_id are classes of their own. Of a class, `bands` hashes of `row
 kept; numbers are chosen so that a pair at the threshold shares a band with the target recall.
 
 Classes that share a band hash form a bucket. Buckets with the same members (near copies share many bands) are joined
-once. Members' shingle sets, made once for a class, meet in the bucket's task. Large buckets are cut into blocks of
-BLOCK members, and each pair of blocks is a task of its own: no task holds more than two blocks, and a task emits one row
-for each linked member (its number of links and the root of its local component), never pairs. A pair counts only in the
-first bucket that both are in, so links are exact and counted once. Class ids are the connected components of the roots,
-found by joins that keep their edges in the shared folder.
+once. Members' shingle sets, made once for a class, meet in the bucket's task. Large buckets are cut into blocks of at
+most BLOCK members and about BLOCK_SHINGLES shingles, and each pair of blocks is a task of its own: no task holds more than
+two blocks, a member travels once for each block of its bucket, and a task emits one row for each linked member (its
+number of links and the root of its local component), never pairs. A pair counts only in the first bucket that both are
+in, so links are exact and counted once. Class ids are the connected components of the roots, found by joins that keep
+their edges in the shared folder.
 
 Defined results: texts without words (null, empty) link to nothing, not even each other, and are classes of their own;
 a null doc_id gets a null class and no links; repeated rows fall into one class; different texts under one doc_id are
-linked and classed each by itself; empty tables give no rows; other columns
-are ignored.
+linked and classed each by itself; a very long text is shingled whole; ties (equal similarity, equal ids) need no
+choice, as all links count; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WordHash, forget, keep, release, slices, table, words_of
+from docloom.llm.common import WordHash, forget, join_few, keep, release, slices, table, words_of
 from docloom.llm.hashing import Rolling, mix
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9995
-MOST_BANDS, BLOCK = 16, 256
-#: Values up to this number (some 40 MB) are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 400_000
+MOST_BANDS, BLOCK, BLOCK_SHINGLES = 16, 1024, 1 << 20
 CLASS = "struct<rep: bigint, a: bigint, b: bigint>"
 
 
@@ -80,46 +79,75 @@ def band_hashes(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each pair the first band whose hashes agree, or -1."""
-    out = np.full((len(a), len(b)), -1, np.int16)
-    for k in range(a.shape[1] - 1, -1, -1):
-        out[a[:, k][:, None] == b[:, k][None, :]] = k
-    return out
+def _pairs(a: np.ndarray, b: np.ndarray, band: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the rows of a and b that agree in `band` and in no band before; i < j where both are the one block."""
+    order_a, order_b = np.argsort(a[:, band], kind="stable"), np.argsort(b[:, band], kind="stable")
+    out_i, out_j = [], []
+    values, first = np.unique(a[order_a, band], return_index=True)
+    low, high = np.searchsorted(b[order_b, band], values, "left"), np.searchsorted(b[order_b, band], values, "right")
+    for k in np.flatnonzero(high > low).tolist():
+        rows, cols = order_a[first[k] : first[k + 1] if k + 1 < len(first) else None], order_b[low[k] : high[k]]
+        earlier = np.zeros((len(rows), len(cols)), bool)
+        for c in range(band):
+            earlier |= a[rows, c][:, None] == b[cols, c][None, :]
+        i, j = np.nonzero(~earlier)
+        out_i.append(rows[i])
+        out_j.append(cols[j])
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j))
+    return (i[i < j], j[i < j]) if same else (i, j)
 
 
 def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[i] and sets[j], pair by pair or, where pairs are dense, by matrix products."""
-    used = np.unique(np.concatenate([i, j]))
-    if len(i) <= 3 * len(used):
+    left, right = np.unique(i), np.unique(j)
+    if len(i) <= 3 * (len(left) + len(right)):
         return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
-    row = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
-    _, col, count = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
-    live = count[col] > 1  # a shingle of one member meets nothing
-    order = np.argsort(col[live], kind="stable")
-    row, col = row[live][order], np.unique(col[live][order], return_inverse=True)[1]
-    total = np.zeros((len(used), len(used)), np.float32)
-    width = 4096
-    for start in range(0, int(col.max(initial=-1)) + 1, width):
+    used = np.unique(np.concatenate([left, right]))
+    every = np.concatenate([sets[k] for k in used])
+    values, count = np.unique(every, return_counts=True)
+    values = values[count > 1]  # a shingle of one member meets nothing
+    if not len(values):
+        return np.zeros(len(i), np.int64)
+    col = np.minimum(np.searchsorted(values, every), len(values) - 1)
+    live = values[col] == every
+    row, col = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])[live], col[live]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    rows, cols = np.searchsorted(used, left), np.searchsorted(used, right)
+    total = np.zeros((len(rows), len(cols)), np.float32)
+    width = 2048
+    for start in range(0, len(values), width):
         a, b = np.searchsorted(col, [start, start + width])
         part = np.zeros((len(used), width), np.float32)
         part[row[a:b], col[a:b] - start] = 1
-        total += part @ part.T
-    at = {k: n for n, k in enumerate(used.tolist())}
-    return total[[at[k] for k in i.tolist()], [at[k] for k in j.tolist()]].astype(np.int64)
+        total += part[rows] @ part[cols].T
+    return total[np.searchsorted(left, i), np.searchsorted(right, j)].astype(np.int64)
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n members the least one that the pairs (i, j) connect it with."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        np.minimum.at(new, j, root[i])
+        np.minimum.at(new, root, new.copy())  # what a member found holds for its root
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def verify(ids: list, bands: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, band: int, threshold: float) -> list[tuple]:
-    """(id, root, links) of linked members. sides: a pair counts if both are of the one block, or one of either.
+    """(id, root, links) of linked members. ids are sorted. sides: a pair counts if both are of the one block, or one of either.
 
     sides holds 0 for members of the lower block and 1 for those of the upper; all 0 where a block meets itself.
     """
     low, high = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    shared = _first_shared(bands[low], bands[high if len(high) else low])
-    at = np.argwhere(shared == band)
-    i, j = low[at[:, 0]], (high if len(high) else low)[at[:, 1]]
-    if not len(high):
-        i, j = i[i < j], j[i < j]
+    same = not len(high)
+    high = low if same else high
+    i, j = _pairs(bands[low], bands[high], band, same)
+    i, j = low[i], high[j]
     size = np.array([len(s) for s in sets])
     able = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
     i, j = i[able], j[able]
@@ -129,19 +157,8 @@ def verify(ids: list, bands: np.ndarray, sets: list[np.ndarray], sides: np.ndarr
     linked = both >= threshold * (size[i] + size[j] - both) - 1e-9
     i, j = i[linked], j[linked]
     links = np.bincount(np.concatenate([i, j]), minlength=len(ids))
-    root = list(range(len(ids)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            root[a if ids[a] > ids[b] else b] = b if ids[a] > ids[b] else a
-    return [(ids[k], ids[find(k)], int(links[k])) for k in np.flatnonzero(links).tolist()]
+    root = _roots(len(ids), i, j)
+    return [(ids[k], ids[root[k]], int(links[k])) for k in np.flatnonzero(links).tolist()]
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -150,14 +167,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     before = None
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # least is kept, so that both sides of the join are plain exchanges, of which Spark splits a hub's partition
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # each larger neighbour to the least
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = keep(large.where("u <> v").distinct(), "large")
+        forget(least)
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = keep(small, "edges")
-        forget(cur)
+        for old in (cur, large, least):
+            forget(old)
         cur = new
         sums = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == before:
@@ -165,11 +185,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before = sums
 
 
-def _small(df: DataFrame, cost: str = "1") -> DataFrame:
-    """df, to be broadcast if its summed cost (values of a row, about) is within the bound."""
-    return F.broadcast(df) if (df.agg(F.sum(F.expr(cost))).first()[0] or 0) <= MOST_BROADCAST else df
-
-
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links, n_copies, rep_id for every row of docs.
 
@@ -190,17 +205,18 @@ def _classed(docs: DataFrame, threshold: float, width: int, recall: float) -> Da
             for batch in slices(whole, "text") if whole.num_rows else [whole]:
                 sets = [shingles.of(t) for t in batch.column("text").to_pylist()]
                 got = [band_hashes(s, bands, rows).view(np.int64) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "a", "b")] + [pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "a", "b", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "a", "b")] + [pa.array(got, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "a", "b", "bands", "size"])
         release()
 
-    signed = keep(own.mapInArrow(sign, "doc_id bigint, a bigint, b bigint, bands array<bigint>"), "signed")
+    signed = keep(own.mapInArrow(sign, "doc_id bigint, a bigint, b bigint, bands array<bigint>, size bigint"), "signed")
     live = signed.where("doc_id IS NOT NULL AND bands IS NOT NULL")
-    classes = keep(live.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")), "classes")
+    classes = keep(live.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("size").alias("size")), "classes")
 
     # buckets of two or more; of those with the same members, the one of the first band
-    keyed = classes.select("rep", "a", "b", F.posexplode("bands").alias("band", "h"))
-    size = keyed.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep", "a", "b").cast("decimal(38,0)")).alias("s1"), F.expr("bit_xor(xxhash64(rep, a, b, 7))").alias("s2")).where("n > 1")
-    chosen = size.groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "h")).alias("x")).select("x.band", "x.h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    keyed = classes.select("rep", "a", "b", "size", F.posexplode("bands").alias("band", "h"))
+    size = keyed.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("rep", "a", "b").cast("decimal(38,0)")).alias("s1"), F.expr("bit_xor(xxhash64(rep, a, b, 7))").alias("s2")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    chosen = size.groupBy("n", "s1", "s2", "shingles").agg(F.min(F.struct("band", "h")).alias("x")).select("x.band", "x.h", F.least(blocks, F.col("n")).cast("int").alias("blocks"))
     member = keyed.join(chosen, ["band", "h"]).groupBy("rep", "a", "b").agg(F.collect_list(F.struct("band", "h", "blocks")).alias("buckets"))  # a row for each band at most
     member = keep(member, "members")
 
@@ -223,7 +239,7 @@ def _classed(docs: DataFrame, threshold: float, width: int, recall: float) -> Da
                 yield _dealt(out)
         release()
 
-    with_text = own.join(_small(member.withColumnRenamed("rep", "doc_id"), "size(buckets)"), ["doc_id", "a", "b"]).select("doc_id", "a", "b", "text", "buckets")
+    with_text = join_few(own, member.withColumnRenamed("rep", "doc_id"), ["doc_id", "a", "b"], "inner", "24L * size(buckets)").select("doc_id", "a", "b", "text", "buckets")
     dealt = with_text.mapInArrow(deal, "band int, h bigint, lo int, hi int, side int, rep bigint, a bigint, b bigint, sig binary, shingles binary").repartition("band", "h", "lo", "hi").sortWithinPartitions("band", "h", "lo", "hi", "rep")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +247,7 @@ def _classed(docs: DataFrame, threshold: float, width: int, recall: float) -> Da
 
         def close() -> None:
             if len(group) > 1:
-                ids = list(group)
+                ids = sorted(group)
                 sides = np.array([group[k][0] for k in ids])
                 if key[2] == key[3] or not sides.any() or sides.all():
                     if key[2] != key[3]:
@@ -253,6 +269,7 @@ def _classed(docs: DataFrame, threshold: float, width: int, recall: float) -> Da
         yield _linked(out)
 
     linked = keep(dealt.mapInArrow(join, f"id {CLASS}, root {CLASS}, links bigint"), "links")
+    forget(member)
     found = components(linked, "id", "root")  # a component's least class has its least doc_id
     links = linked.groupBy("id").agg(F.sum("links").alias("n_links"))
     info = classes.select(F.struct("rep", "a", "b").alias("id"), "a", "b", "rep", "n_copies").join(links, "id", "left").join(found, "id", "left")
@@ -302,10 +319,9 @@ def pipeline_near_duplicates(docs: DataFrame) -> DataFrame:
     gone = keep(rows.where(~first).select(key).distinct(), "gone")
     again = keep(rows.where(first & (F.col("n_copies") > 1)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "again")
     forget(rows)
-    own = docs.withColumns({"__a": F.xxhash64("text"), "__b": F.xxhash64(F.lit(1), "text")}).join(_small(gone, "3"), key, "left_anti")
+    own = join_few(docs.withColumns({"__a": F.xxhash64("text"), "__b": F.xxhash64(F.lit(1), "text")}), gone, key, "left_anti")
     if again.limit(1).count():
-        small = _small(again, "3")
-        own = own.join(small, key, "left_anti").unionByName(own.join(small, key, "left_semi").dropDuplicates(key))
+        own = join_few(own, again, key, "left_anti").unionByName(join_few(own, again, key, "inner").dropDuplicates(key))
     return own.select(*docs.columns)
 
 

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from docloom.llm import common
 from docloom.llm import jaccard as J
 from docloom.llm.common import words_of
 
@@ -86,6 +87,34 @@ def test_different_texts_of_one_doc_id(spark):
     assert have == Counter({(5, 5, 2, 1, 5): 2, (7, 5, 2, 1, 7): 1, (5, 3, 2, 2, 5): 2, (8, 3, 2, 1, 8): 1, (3, 3, 2, 1, 3): 1})
 
 
+def test_shuffled_path(spark, monkeypatch, docs, rows):
+    """Past the bound of what is broadcast the texts of members alone are shuffled; the result is the same."""
+    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    want = brute(rows.items())
+    assert got(docs) == {k: v for (k, _), v in want.items()}
+    kept = {r["doc_id"] for r in J.pipeline_near_duplicates(docs).collect()}
+    assert kept == {k for (k, _), (c, _) in want.items() if k == c}
+
+
+def test_roots_and_intersections_against_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        n = int(rng.integers(2, 60))
+        i, j = rng.integers(0, n, (2, int(rng.integers(1, 50))))
+        root = list(range(n))
+        for _ in range(n):
+            for a, b in zip(i, j, strict=True):
+                root[a] = root[b] = min(root[a], root[b])
+        assert J._roots(n, i, j).tolist() == root
+        sets = [np.unique(rng.integers(0, 6000, int(rng.integers(1, 4000))).astype(np.uint64)) for _ in range(12)]
+        for i, j in ((np.array([0, 3]), np.array([4, 2])), tuple(np.array(x) for x in zip(*[(a, b) for a in range(6) for b in range(6, 12)], strict=True)) * 1):
+            assert J._intersections(sets, i, j).tolist() == [len(set(sets[a]) & set(sets[b])) for a, b in zip(i, j, strict=True)]
+        sig = rng.integers(0, 4, (14, 5)).astype(np.uint64)
+        for band in range(5):
+            got_pairs = set(zip(*(x.tolist() for x in J._pairs(sig, sig, band, True)), strict=True))
+            assert got_pairs == {(a, b) for a in range(14) for b in range(a + 1, 14) if next((k for k in range(5) if sig[a, k] == sig[b, k]), -1) == band}
+
+
 def test_bands():
     b, r = J.choose_bands(0.8, 0.9995)
     assert 1 - (1 - 0.8**r) ** b >= 0.9995 and b <= J.MOST_BANDS
