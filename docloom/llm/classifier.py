@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import release, slices, table
+from docloom.llm.common import aside, release, slices, table
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 13, 32, 4, 2
 MOST_ROWS = 20_000
@@ -238,7 +238,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pipeline's first stage: documents that the classifier rejects go."""
-    return classify(docs, labels.select("doc_id", "quality")).where("predicted = 1").select(*docs.columns)
+    return aside(docs, ["doc_id", "text"], lambda own: classify(own, labels.select("doc_id", "quality")).where("predicted = 1"))
 
 
 #: A fitted network isn't a matter of SQL; the tests measure accuracy on held-out rows.

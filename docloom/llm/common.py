@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -116,6 +116,13 @@ def with_possible(df: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame
     return tested.withColumn("__possible", F.coalesce(reduce(Column.__and__, bits), F.lit(False))).drop("__block", *[f"w{k}" for k in range(WORDS)])
 
 
+def aside(docs: DataFrame, needed: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run(docs) with the columns of docs: all but the needed ones bear other names meanwhile, so that none can clash."""
+    others = {c: f"__other{k}" for k, c in enumerate(docs.columns) if c not in needed}
+    out = run(docs.select(*[F.col(f"`{c}`").alias(others.get(c, c)) for c in docs.columns]))
+    return out.select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ as UTF-8; bytes.split() parts at exactly these characters. Null: none."""
     return text.encode().split() if text else []

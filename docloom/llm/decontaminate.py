@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import forget, join_few, keep, release, slices, table, words_of
+from docloom.llm.common import aside, forget, join_few, keep, release, slices, table, words_of
 from docloom.llm.hashing import Bloom
 
 WINDOW, LEAST_SHARE = 5, 0.8
@@ -296,7 +296,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The pipeline's third stage: documents that hold a benchmark item go."""
-    return decontaminate(docs, benchmark).where("NOT contaminated").select(*docs.columns)
+    return aside(docs, ["doc_id", "text"], lambda own: decontaminate(own, benchmark).where("NOT contaminated"))
 
 
 #: Window alignment and slot agreement aren't stated in SQL; the tests compare with a brute-force version.

@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import forget, join_few, keep, table
+from docloom.llm.common import aside, forget, join_few, keep, table
 
 #: The session setting that holds the key, and what the registered query takes where it is unset: for tests only.
 KEY_SETTING, DEMONSTRATION_KEY = "spark.docloom.pii.key", "for demonstration only"
@@ -378,8 +378,8 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_pii(docs: DataFrame) -> DataFrame:
     """The pipeline's fourth stage: every document with surrogates in place of its entities."""
-    out = replace(docs, session_key(docs.sparkSession))
-    return (out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out).select(*docs.columns)
+    out = aside(docs, ["doc_id", "text"], lambda own: replace(own, session_key(docs.sparkSession)))
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
 #: Keyed permutations and redrawing aren't stated in SQL; the tests check format, distinctness and coreference.
