@@ -6,6 +6,14 @@ docs; all but the last return the columns that they were given.
 3. benchmark decontamination: documents that hold a benchmark item go.
 4. PII: surrogates take the place of personal data and secrets.
 5. byte-level BPE: ids of every document, and whether they decode to its text.
+
+What a stage leaves is written to the shared folder, read by the next, and deleted once that one is written.
+
+Defined results: a null or empty text is scored like any other, has no class, holds no item and no entity, and encodes to
+no ids; a null doc_id is judged by its text and has no class; very long texts are read whole; of rows that are equal in
+doc_id and text, and of copies under different doc_ids, one stays; other columns pass through the first four stages
+unchanged, also where an operator has a column of that name (but n_chars, which follows the text); empty tables of any kind give no rows, or if only labels or benchmark
+are empty, reject none.
 """
 
 from __future__ import annotations
@@ -13,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import bpe, classifier, decontaminate, jaccard, pii
-from docloom.llm.common import keep, table
+from docloom.llm.common import forget, keep, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage leaves is written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = keep(docs, f"stage{k + 1}")
+            forget(before)
     return docs
