@@ -112,7 +112,7 @@ def clamp_pages(first: Column, last: Column, pages: Column) -> Column:
     return F.greatest(F.lit(0), F.least(last, pages) - F.greatest(first, F.lit(1)) + 1)
 
 
-_ELLIPSIS = r"^(?:…|\.\.\.)$"
+_ELLIPSIS = r"^(?:…|\.\.\.|\x{FFFD})$"
 _ID = r"^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*$"
 _NUMBERED = r"^(.*?)(\d+)([A-Z0-9_]*)$"
 

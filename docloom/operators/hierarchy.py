@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,56 +88,64 @@ def part_sizes(parts: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id", "part_ix").agg(F.sum(F.length("text") + 2).cast("bigint").alias("size"), F.coalesce(F.min(F.when(F.col("page") != 0, F.col("page"))), F.lit(0)).alias("page_first"), F.coalesce(F.max("page"), F.lit(0)).alias("page_last"))
 
 
-def _plan_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Part boundaries of one document: large parts are parted again, small neighbours joined."""
-    rows = pdf.sort_values("block_ix").to_dict("records")
-    headings = [r["level"] for r in rows if r["kind"] == "heading"]
-    top = min(headings, default=0)
-    groups: list[dict] = [{"rows": [], "head": None, "parent": None}]
-    for r in rows:
-        if headings and r["kind"] == "heading" and r["level"] == top:
-            groups.append({"rows": [], "head": r, "parent": None})
-        groups[-1]["rows"].append(r)
-    size = lambda g: sum(r["size"] for r in g["rows"])
-    todo, flat = [(g, top) for g in reversed(groups)], []
-    while todo:  # depth first, in reading order
-        g, level = todo.pop()
-        able = [r for r in g["rows"] if r["kind"] == "heading" and r["level"] > level and r["title"].strip().lower() not in LABEL_TITLES]
-        levels = [r["level"] for r in able if r["sec"]] or [r["level"] for r in able]
-        if size(g) <= LARGEST or not levels:
-            flat.append(g)
+def _cuts(heads: pd.DataFrame, total: int) -> list[dict]:
+    """Parts of one document, from its headings and how many characters stand before each of them.
+
+    A part is a run of headings [lo, hi); -1 is the document's start. Sizes are differences of running sums.
+    """
+    level, sec, title, before = (heads[c].tolist() for c in ("level", "sec", "title", "before"))
+    n = len(level)
+    upto = [0, *before, total]  # upto[k + 1]: characters before heading k
+    size = lambda lo, hi: upto[hi + 1] - (upto[lo + 1] if lo >= 0 else 0)
+    last_numbered = np.maximum.accumulate([-1, *[k if sec[k] else -1 for k in range(n)]]).tolist()  # before heading k
+    top = min(level)
+    tops = [k for k in range(n) if level[k] == top]
+    waiting = [(lo, hi, top, lo, -1, False) for lo, hi in zip([-1, *tops], [*tops, n], strict=True)][::-1]
+    parts: list[dict] = []
+    while waiting:
+        lo, hi, above, head, parent, parted = waiting.pop()
+        inner = [k for k in range(lo + 1, hi) if level[k] > above and title[k].strip().lower() not in LABEL_TITLES]
+        depth = min((level[k] for k in inner if sec[k]), default=min((level[k] for k in inner), default=0))
+        if size(lo, hi) > LARGEST and inner:
+            starts = [lo]
+            for k in inner:
+                if level[k] == depth and size(starts[-1], k) > SMALLEST:
+                    starts.append(k)
+            pieces = [(a, z, depth, head if a == lo else a, parent if a == lo else max(last_numbered[a], lo) if last_numbered[a] >= max(lo, 0) else parent, True) for a, z in zip(starts, [*starts[1:], hi], strict=True)]
+            waiting += pieces[::-1]
             continue
-        at, cuts = min(levels), {r["block_ix"] for r in able if r["level"] == min(levels)}
-        numbered = g["head"] if g["head"] and g["head"]["sec"] else g["parent"]
-        pieces = [{"rows": [], "head": g["head"], "parent": g["parent"]}]
-        for r in g["rows"]:
-            if r["block_ix"] in cuts and size(pieces[-1]) > SMALLEST:
-                pieces.append({"rows": [], "head": r, "parent": numbered})
-            if r["kind"] == "heading" and r["sec"]:
-                numbered = r
-            pieces[-1]["rows"].append(r)
-        todo += [(p, at) for p in reversed(pieces)]
-    joined: list[dict] = []
-    for g in flat:
-        if joined and g["head"] and joined[-1]["head"] and size(g) < SMALLEST and size(joined[-1]) + size(g) < 3 * SMALLEST:
-            joined[-1]["rows"] += g["rows"]
-        else:
-            joined.append(g)
-    out = []
-    for k, g in enumerate(g for g in joined if g["rows"]):
-        head, parent = g["head"], g["parent"]
-        sec = (head["sec"] or (parent["sec"] if parent else "")) if head else ""
-        out += [(r["doc_id"], r["block_ix"], k, head["title"] if head else None, sec) for r in g["rows"]]
-    return pd.DataFrame(out, columns=["doc_id", "block_ix", "part_ix", "head_title", "head_sec"])
+        chars, joins = size(lo, hi), parts and head >= 0 and parts[-1]["head"] >= 0
+        if joins and chars < SMALLEST and parts[-1]["size"] + chars < 3 * SMALLEST:
+            parts[-1]["size"] += chars
+        elif chars:  # every block counts, so a part without characters has no blocks
+            own = sec[head] if head >= 0 else ""
+            parts.append({"lo": lo, "size": chars, "head": head, "sec": own or (sec[parent] if head >= 0 and parent >= 0 else ""), "parted": parted})
+    return parts
+
+
+def _plan_parts(heads: pd.DataFrame) -> pd.DataFrame:
+    """doc_id, block_ix (the first of a part; null: the document's), part_ix, head_title, head_sec, parted."""
+    heads = heads.sort_values("block_ix")
+    doc, ix, title = heads["doc_id"].iloc[0], heads["block_ix"].tolist(), heads["title"].tolist()
+    rows = [(doc, ix[p["lo"]] if p["lo"] >= 0 else None, k, title[p["head"]] if p["head"] >= 0 else None, p["sec"], p["parted"]) for k, p in enumerate(_cuts(heads, int(heads["total"].iloc[0])))]
+    return pd.DataFrame(rows, columns=["doc_id", "block_ix", "part_ix", "head_title", "head_sec", "parted"]).astype({"block_ix": "Int64"})
 
 
 def split_parts(blocks: DataFrame) -> DataFrame:
-    """Blocks with part_ix and part_name. Only sizes and headings go to the per-document step, never texts."""
-    narrow = blocks.select("doc_id", "block_ix", "kind", "level", F.coalesce("sec", F.lit("")).alias("sec"), F.coalesce("title", F.lit("")).alias("title"), (F.length("text") + 2).alias("size"))
-    plan = narrow.groupBy("doc_id").applyInPandas(_plan_parts, "doc_id string, block_ix bigint, part_ix int, head_title string, head_sec string")
-    number = F.lpad(F.col("part_ix").cast("string"), 2, "0")
-    label = F.when(F.col("head_title").isNull(), F.when(F.col("part_ix") == 0, "front-matter").otherwise("part")).otherwise(F.concat(F.when(F.col("head_sec") != "", F.concat(F.translate("head_sec", ".", "_"), F.lit("-"))).otherwise(""), X.slugify(F.col("head_title"), 32)))
-    return blocks.join(plan.withColumn("part_name", F.concat(number, F.lit("-"), label)).drop("head_title", "head_sec"), ["doc_id", "block_ix"])
+    """Blocks with part_ix, part_name and part_title. Parts are planned on headings alone, with the characters before them."""
+    whole = Window.partitionBy("doc_id")
+    size = F.length("text") + 2
+    sized = blocks.select("doc_id", "block_ix", "kind", "level", F.coalesce("sec", F.lit("")).alias("sec"), F.coalesce("title", F.lit("")).alias("title"), (F.sum(size).over(so_far()) - size).alias("before"), F.sum(size).over(whole).alias("total"))
+    plan = sized.where("kind = 'heading'").groupBy("doc_id").applyInPandas(_plan_parts, "doc_id string, block_ix bigint, part_ix int, head_title string, head_sec string, parted boolean")
+    label = F.when(F.col("head_title").isNull(), F.when(F.col("parted"), "part").otherwise("front-matter")).otherwise(F.concat(F.when(F.col("head_sec") != "", F.concat(F.translate("head_sec", ".", "_"), F.lit("-"))).otherwise(""), X.slugify(F.col("head_title"), 32)))
+    number = F.when(F.col("part_ix") < 10, F.lpad(F.col("part_ix").cast("string"), 2, "0")).otherwise(F.col("part_ix").cast("string"))
+    plan = plan.select("doc_id", "block_ix", F.struct("part_ix", F.concat(number, F.lit("-"), label).alias("part_name"), F.coalesce("head_title", F.lit("Front matter")).alias("part_title")).alias("__p"))
+    first = plan.where("block_ix IS NULL").select("doc_id", F.col("__p").alias("__front"))
+    starts = plan.where("block_ix IS NOT NULL")
+    marked = blocks.join(starts, ["doc_id", "block_ix"], "left").join(first, "doc_id", "left")
+    alone = F.struct(F.lit(0).alias("part_ix"), F.lit("00-document").alias("part_name"), F.lit("Front matter").alias("part_title"))  # no headings
+    marked = marked.withColumn("__p", F.coalesce(carried(F.col("__p")), F.col("__front"), alone))
+    return marked.select(*blocks.columns, "__p.part_ix", "__p.part_name", "__p.part_title")
 
 
 def page_anchor(blocks: DataFrame) -> DataFrame:
@@ -146,10 +155,19 @@ def page_anchor(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("anchor", (F.col("kind") != "heading") & (F.col("page") != 0) & (F.col("page") != before))
 
 
+def _body_lines() -> Column:
+    """A block's text as it stands in its file: other line ends become plain ones, and one at the end is none."""
+    return F.regexp_replace(F.regexp_replace("text", "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n"), "\n$", "")
+
+
+def _flat(text: Column) -> Column:
+    return F.regexp_replace(text, "[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+", " ")
+
+
 def line_numbers(blocks: DataFrame) -> DataFrame:
     """Adds line: where the block's text starts in its file. Needs part_ix; anchors and table marks take a line each."""
     df = page_anchor(blocks)
-    lines = F.when(F.col("kind") == "heading", 1).when(F.col("kind") == "picture", 1).when(F.col("text") == "", 0).otherwise(F.size(F.split(F.regexp_replace("text", "\n$", ""), "\n")))
+    lines = F.when(F.col("kind").isin("heading", "picture"), 1).when(_body_lines() == "", 0).otherwise(F.size(F.split(_body_lines(), "\n")))
     marks = F.col("anchor").cast("int") + (F.col("kind") == "table").cast("int")
     df = df.withColumns({"__marks": marks, "__took": lines + 1 + marks})
     before = F.coalesce(F.sum("__took").over(in_order("part_ix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -157,16 +175,25 @@ def line_numbers(blocks: DataFrame) -> DataFrame:
 
 
 def markdown_lines(blocks: DataFrame) -> DataFrame:
-    """doc_id, part_ix, block_ix, md: each block as it stands in its file. Needs part_ix."""
+    """doc_id, part_ix, block_ix, md: each block as it stands in its file, with a blank line after it. Needs part_ix."""
     df = page_anchor(blocks)
     page = F.col("page").cast("string")
     anchor = F.when(F.col("anchor"), F.concat(F.lit("<!-- p."), page, F.lit(" -->\n"))).otherwise("")
     labels = F.coalesce(F.try_element_at(F.flatten("grid"), F.lit(1)), F.lit(""))
     figure = F.concat(F.lit("<!-- figure "), F.col("table_id"), F.lit(" p."), page, F.lit(": "), F.coalesce(F.nullif("title", F.lit("")), F.lit("no caption")), F.when(labels != "", F.concat(F.lit(" | labels: "), labels)).otherwise(""), F.lit(" -->"))
-    table = F.concat(F.lit("<!-- table "), F.col("table_id"), F.lit(" p."), page, F.when(F.coalesce("spans", F.lit(False)), " (merged cells)").otherwise(""), F.lit(" -->\n"), F.col("text"))
-    heading = F.concat(F.repeat(F.lit("#"), F.greatest("level", F.lit(1))), F.lit(" "), F.col("text"), F.lit(" <!-- p."), page, F.lit(" -->"))
-    body = F.when(F.col("kind") == "heading", heading).when(F.col("kind") == "picture", figure).when(F.col("kind") == "table", table).otherwise(F.col("text"))
-    return df.select("doc_id", "part_ix", "block_ix", F.concat(anchor, body, F.lit("\n")).alias("md"))
+    text = F.when(_body_lines() == "", "").otherwise(F.concat(_body_lines(), F.lit("\n")))
+    table = F.concat(F.lit("<!-- table "), F.col("table_id"), F.lit(" p."), page, F.when(F.coalesce("spans", F.lit(False)), " (merged cells)").otherwise(""), F.lit(" -->\n"), text)
+    heading = F.concat(F.repeat(F.lit("#"), F.greatest("level", F.lit(1))), F.lit(" "), _flat(F.col("text")), F.lit(" <!-- p."), page, F.lit(" -->\n"))
+    body = F.when(F.col("kind") == "heading", heading).when(F.col("kind") == "picture", F.concat(_flat(figure), F.lit("\n"))).when(F.col("kind") == "table", table).otherwise(text)
+    return df.select("doc_id", "part_ix", "block_ix", F.concat(anchor, body).alias("md"))
+
+
+def front_lines(parts: DataFrame, source: Column | None = None) -> DataFrame:
+    """doc_id, part_ix, md: the FRONT_LINES lines that each file begins with. Needs part_ix and part_title."""
+    page = F.when(F.col("page") != 0, F.col("page"))
+    source = F.lit("") if source is None else source
+    by_part = parts.groupBy("doc_id", "part_ix").agg(F.first("part_title").alias("title"), F.coalesce(F.min(page), F.lit(0)).alias("a"), F.coalesce(F.max(page), F.lit(0)).alias("z"))
+    return by_part.select("doc_id", "part_ix", F.concat(F.lit("---\ndoc: "), "doc_id", F.lit('\ntitle: "'), X.one_line(F.col("title")), F.lit('"\npages: '), F.col("a").cast("string"), F.lit("-"), F.col("z").cast("string"), F.lit("\nsource: "), source, F.lit("\n---\n")).alias("md"))
 
 
 def chunks(blocks: DataFrame) -> DataFrame:
@@ -175,9 +202,15 @@ def chunks(blocks: DataFrame) -> DataFrame:
     title = F.when(F.coalesce("title", F.lit("")) != "", F.concat("title", F.lit("\n"))).otherwise("")
     labels = F.coalesce(F.try_element_at(F.flatten("grid"), F.lit(1)), F.lit(""))
     figure = F.coalesce(F.nullif(F.trim(F.regexp_replace(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), labels), r"^\s+|\s+$", "")), F.lit("")), F.lit("figure"))
-    body = F.when(F.col("kind") == "table", F.concat(title, F.array_join(rows, "\n"))).when(F.col("kind") == "picture", figure).otherwise(F.col("text"))
+    body = F.when(F.col("kind") == "table", F.concat(title, F.array_join(F.coalesce(rows, F.array().cast("array<string>")), "\n"))).when(F.col("kind") == "picture", figure).otherwise(F.col("text"))
     df = section_path(blocks, "s1").where(F.col("text") != PLACEHOLDER).withColumn("rowid", F.row_number().over(in_order()).cast("bigint"))
-    return df.select("doc_id", "rowid", F.concat(F.coalesce("part_name", F.col("part_ix").cast("string")), F.lit(".md")).alias("file") if "part_name" in blocks.columns else F.concat(F.col("part_ix").cast("string"), F.lit(".md")).alias("file"), "line", "page", "section", F.when(F.col("kind") == "picture", "figure").otherwise(F.col("kind")).alias("kind"), F.coalesce("table_id", F.lit("")).alias("tid"), body.alias("text"))
+    return df.select("doc_id", "rowid", file_name(blocks).alias("file"), "line", "page", "section", F.when(F.col("kind") == "picture", "figure").otherwise(F.col("kind")).alias("kind"), F.coalesce("table_id", F.lit("")).alias("tid"), body.alias("text"))
+
+
+def file_name(parts: DataFrame) -> Column:
+    """The file of a block's part: named by the part, or where parts have no names by their number."""
+    name = F.coalesce("part_name", F.col("part_ix").cast("string")) if "part_name" in parts.columns else F.col("part_ix").cast("string")
+    return F.concat(name, F.lit(".md"))
 
 
 def index_headings(headings: DataFrame, depth: int = 2) -> DataFrame:
@@ -201,9 +234,9 @@ def toc(headings: DataFrame, section: str | None = None, depth: int = 2) -> Data
 def section_extent(headings: DataFrame) -> DataFrame:
     """Headings with line_end: the line before the next heading of its level or less in the same file (null: file's end).
 
-    A heading's closer is found in one pass: by level, the next line of any level up to its own.
+    Read from the end, a heading's closer is the least line so far of any level up to its own: one pass of running minima.
     """
-    after = Window.partitionBy("doc_id", "file").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("doc_id", "file").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
     nexts = [F.min(F.when(F.col("level") <= k, F.col("line"))).over(after) for k in range(1, 7)]
     return headings.withColumn("line_end", F.element_at(F.array(*nexts), F.least(F.greatest("level", F.lit(1)), F.lit(6))) - 1)
 
@@ -250,3 +283,9 @@ def margin_captions(blocks: DataFrame, reach: int = 15) -> DataFrame:
     caption = F.substring(X.one_line(F.regexp_extract("text", f"({figure})", 1)), 1, 220)
     ranked = found.select("doc_id", "block_ix", "cand_ix", (F.col("__start") > 1).cast("int").alias("at_start"), F.abs(F.col("__pos") - F.col("p")).cast("int").alias("distance"), F.col("__start").alias("place"), F.regexp_extract("text", figure, 1).alias("number"), caption.alias("caption"))
     return ranked.groupBy("doc_id").applyInPandas(_adopt, "doc_id string, block_ix bigint, caption string")
+
+
+def adopt_captions(blocks: DataFrame) -> DataFrame:
+    """Blocks whose pictures without a caption bear the one found near them."""
+    found = margin_captions(blocks).withColumnRenamed("caption", "__caption")
+    return blocks.join(found, ["doc_id", "block_ix"], "left").withColumn("title", F.coalesce("__caption", "title")).drop("__caption")
