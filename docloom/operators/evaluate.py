@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Wordings that refuse an answer, invented values, and citation forms by mode.
-_VERBS = r"(?:exist|appear|contain|cover|include|have|mention|document|in|part)"
-NOT_FOUND = rf"(?i)not (?:found|present|contain|in the|documented|available|exist|cover|include|defined|part of|mention)|no (?:such|mention|entry|register|hits?|information|match|results?|documentation)|(?:does|do|is|are)n[’']?t {_VERBS}|(?:does|do|is|are) not {_VERBS}|(?:can(?:no|')t|could(?:n'| no)t|unable to) (?:find|locate|answer)|nothing (?:about|on|for)|isn[’']?t (?:in|part|present|documented)|outside the scope"
+NOT_FOUND = r"(?i)not (?:found|present|contain|in the|documented|available|exist|cover|include|defined|part of|mention)|no (?:such|mention|entry|register|hits?|information|match|results?|documentation)|(?:does|do|is|are)n[’']?t (?:exist|appear|contain|cover|include|have|mention|document|in|part)|(?:does|do|is|are) not (?:exist|appear|contain|cover|include|have|mention|document|in|part)|(?:can(?:no|')t|could(?:n'| no)t|unable to) (?:find|locate|answer)|nothing (?:about|on|for)|isn[’']?t (?:in|part|present|documented)|outside the scope"
 INVENTED = r"reset value (?:is|=|:)\s*0x"
 CITES = {"indexed": r"(?i)\[[^\]]*\bp\.\s?\d+", "baseline": r"(?i)\b(?:p\.|pages?)\s?\d+"}
 
@@ -49,22 +48,28 @@ def grade(answers: DataFrame) -> DataFrame:
 
 
 def upper_median(col: str) -> Column:
-    """The middle value, or the upper of the two in the middle."""
-    values = F.sort_array(F.collect_list(col))
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    """The middle value, or the upper of the two in the middle: counts by value are summed, not the values gathered."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {col} DESC)")
 
 
 def report(results: DataFrame) -> DataFrame:
     """One row for each mode: counts, money, tokens, time."""
+    mean = lambda c: F.round(F.avg(c), 4)
     return results.groupBy("mode").agg(
         F.count(F.lit(1)).alias("n"), F.sum("correct").cast("bigint").alias("correct"), F.sum("cited").cast("bigint").alias("cited"),
-        F.round(F.sum("cost_usd"), 4).alias("cost_total"), F.round(F.avg("cost_usd"), 4).alias("cost_mean"),
-        F.round(F.avg("tokens_total"), 4).alias("tokens_mean"), upper_median("tokens_total").alias("tokens_median"),
-        F.round(F.avg("turns"), 4).alias("turns_mean"), F.round(F.avg("wall_s"), 4).alias("wall_mean"),
+        F.round(F.sum("cost_usd"), 4).alias("cost_total"), mean("cost_usd").alias("cost_mean"),
+        mean("tokens_total").alias("tokens_mean"), upper_median("tokens_total").alias("tokens_median"),
+        mean("tokens_input_uncached").alias("uncached_mean"), mean("tokens_output").alias("output_mean"),
+        mean("turns").alias("turns_mean"), mean("wall_s").alias("wall_mean"),
         F.count_if(F.coalesce("denied", F.lit("")) != "").alias("denied_runs"),
     )
 
 
+def summary_lines(reported: DataFrame) -> DataFrame:
+    """mode, line: a mode's report in a sentence."""
+    return reported.select("mode", F.concat("mode", F.lit(": "), F.col("correct").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" correct, "), F.col("cited").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" with page citation, avg "), F.format_number("tokens_mean", 0), F.lit(" tokens, $"), F.format_number("cost_mean", 3), F.lit("/question, "), F.format_number("turns_mean", 1), F.lit(" turns")).alias("line"))
+
+
 def cross_tab(results: DataFrame, modes: list[str]) -> DataFrame:
     """category, and for each mode correct/total."""
     cell = F.concat(F.sum("correct").cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string"))
@@ -72,7 +77,9 @@ def cross_tab(results: DataFrame, modes: list[str]) -> DataFrame:
 
 
 def wrong(results: DataFrame) -> DataFrame:
-    return results.where("correct = 0").groupBy("mode").agg(F.array_join(F.array_sort(F.collect_list("id")), ", ").alias("ids"))
+    """Wrong or incomplete answers, a row each: mode, id, and what was missing where it is known."""
+    own = results if "missing" in results.columns else results.withColumn("missing", F.lit(""))
+    return own.where("correct = 0").select("mode", "id", F.coalesce("missing", F.lit("")).alias("missing"))
 
 
 def upsert(old: DataFrame, new: DataFrame, questions: DataFrame) -> DataFrame:

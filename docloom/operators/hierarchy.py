@@ -250,10 +250,10 @@ def find_section(headings: DataFrame, wanted: str) -> DataFrame:
 
 
 def table_ids(blocks: DataFrame) -> DataFrame:
-    """Tables numbered t0001 ... in reading order, with rows, columns and whether cells span."""
+    """Tables by their ids (without one numbered t0001 ... in reading order), with rows, columns and whether cells span."""
     n = F.row_number().over(in_order())
     tables = blocks.where("kind = 'table'")
-    return tables.select("doc_id", "block_ix", F.concat(F.lit("t"), F.lpad(n.cast("string"), 4, "0")).alias("tid"), "page", F.size("grid").alias("n_rows"), F.coalesce(F.array_max(F.transform("grid", lambda r: F.size(r))), F.lit(0)).alias("n_cols"), F.coalesce("title", F.lit("")).alias("caption"), F.exists(F.coalesce("cells", F.array().cast("array<struct<r:int,c:int,rs:int,cs:int,text:string,hdr:boolean>>")), lambda c: (c["rs"] > 1) | (c["cs"] > 1)).alias("spans"))
+    return tables.select("doc_id", "block_ix", F.coalesce(F.nullif("table_id", F.lit("")), F.concat(F.lit("t"), F.when(n < 10_000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string")))).alias("tid"), "page", F.size("grid").alias("n_rows"), F.coalesce(F.array_max(F.transform("grid", lambda r: F.size(r))), F.lit(0)).alias("n_cols"), F.coalesce("title", F.lit("")).alias("caption"), F.exists(F.coalesce("cells", F.array().cast("array<struct<r:int,c:int,rs:int,cs:int,text:string,hdr:boolean>>")), lambda c: (c["rs"] > 1) | (c["cs"] > 1)).alias("spans"))
 
 
 def _adopt(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -48,7 +48,7 @@ def read_guard(events: DataFrame) -> DataFrame:
 
 
 def announce(docs: DataFrame) -> DataFrame:
-    """One line on what a session can look up: documents (id, kind, pages) in order. A handful of rows for each corpus."""
-    line = F.concat(F.col("id"), F.lit(" ("), F.col("kind"), F.lit(", "), F.col("pages").cast("string"), F.lit(" pages)"))
-    every = docs.agg(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))).alias("d"))
-    return every.where(F.size("d") > 0).select(F.concat(F.lit("documents: "), F.array_join(F.transform("d", lambda x: x["l"]), "; ")).alias("announcement"))
+    """id, line: what a session can look up, a line for each document of the catalog (empty without one)."""
+    n = lambda k: F.coalesce(F.try_element_at("counts", F.lit(k)).cast("string"), F.lit("0"))
+    figures = F.when(n("figures") != "0", F.concat(F.lit(", "), n("figures"), F.lit(" figures"))).otherwise("")
+    return docs.select("id", F.concat("id", F.lit(" ["), F.coalesce("kind", F.lit("manual")), F.lit(']: "'), F.coalesce("title", F.lit("")), F.lit('" '), F.coalesce("pages", F.lit(0)).cast("string"), F.lit("p, "), n("registers"), F.lit(" registers, "), n("tables"), F.lit(" tables"), figures).alias("line"))

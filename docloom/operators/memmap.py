@@ -10,8 +10,7 @@ from docloom.operators.hierarchy import section_path
 
 #: How sentences name bases, and headers and words of address tables.
 HEX = r"0x[0-9A-Fa-f]{1,8}(?:[ _][0-9A-Fa-f]{4})?"
-_DEFS = r"[A-Z][A-Z0-9_]*(?:\s*(?:,|and)\s*[A-Z][A-Z0-9_]*)*"
-SENTENCE = rf"(?Us)(?:The\s+)?([\w\-+/ ]{{1,80}}?)\s+registers?\s+(?:start|starts|are located|is located|begin)\s+at\s+(?:a\s+)?base\s+address(?:es)?\s+of\s+({HEX}(?:\s*(?:,|and)\s*{HEX})*)(?:\s+respectively)?(?:\s*\(defined\s+as\s+({_DEFS})\s+in\s+SDK\))?"
+SENTENCE = rf"(?Us)(?:The\s+)?([\w\-+/ ]{{1,80}}?)\s+registers?\s+(?:start|starts|are located|is located|begin)\s+at\s+(?:a\s+)?base\s+address(?:es)?\s+of\s+({HEX}(?:\s*(?:,|and)\s*{HEX})*)(?:\s+respectively)?(?:\s*\(defined\s+as\s+([A-Z][A-Z0-9_]*(?:\s*(?:,|and)\s*[A-Z][A-Z0-9_]*)*)\s+in\s+SDK\))?"
 ADDRESS_HEADERS = ["boundary address", "base address", "start address", "address range", "address", "base"]
 NAME_HEADERS = ["peripheral", "peripherals", "name", "module", "block", "instance"]
 RESERVED = ["reserved", "-", ""]
@@ -70,7 +69,10 @@ def from_boundary_tables(blocks: DataFrame) -> DataFrame:
 
     address = lambda c: F.exists(F.array(*map(F.lit, ADDRESS_HEADERS)), lambda h: c.startswith(h))
     heads = F.transform(F.slice("grid", 1, 2), lambda r, i: F.struct((i + 1).alias("row"), first(r, address).alias("a"), first(r, lambda c: c.isin(NAME_HEADERS)).alias("n"), first(r, lambda c: c == "bus").alias("b")))
-    usable = F.filter(heads, lambda h: h["a"].isNotNull() & h["n"].isNotNull() & (h["a"] != h["n"]))
+    named = lambda r, h: F.filter(F.split(_cell(r, h["n"]), r"\s*[/,]\s*|\s+"), lambda p: p.rlike(ID))
+    tells = lambda r, h: (F.greatest(h["a"], h["n"]) <= F.size(r)) & F.coalesce(F.try_element_at(r, h["a"]), F.lit("")).rlike(HEX) & ~F.lower(_cell(r, h["n"])).isin(RESERVED) & (F.size(named(r, h)) > 0)
+    # a head under which nothing is told isn't one: the second row may be
+    usable = F.filter(F.filter(heads, lambda h: h["a"].isNotNull() & h["n"].isNotNull() & (h["a"] != h["n"])), lambda h: F.exists(F.slice("grid", h["row"] + 1, F.size("grid")), lambda r: tells(r, h)))
     df = blocks.where((F.col("kind") == "table") & (F.size("grid") > 0) & ~is_define_table(F.col("grid"))).withColumn("h", F.try_element_at(usable, F.lit(1))).where("h IS NOT NULL")
     df = df.select("doc_id", "block_ix", "page", "section", "h", F.posexplode("grid").alias("k", "r")).where("k >= h.row AND greatest(h.a, h.n) <= size(r)")
     addrs = F.regexp_extract_all(F.element_at("r", F.col("h.a")), F.lit(f"({HEX})"), 1)

@@ -12,24 +12,34 @@ MOST_PAGES, REACH, MOST_SPOTS = 12, 1500, 40
 TRIVIAL = ["-", "", "0", "1", "x", "n/a", "na", "undefined", "u"]
 
 
-def span_text(rows: DataFrame, page_text: DataFrame, key: list[str]) -> DataFrame:
-    """rows with text: the squeezed pages from page to one after page_end, MOST_PAGES on at most, joined in order."""
+def span_text(rows: DataFrame, page_text: DataFrame) -> DataFrame:
+    """rows with text: the squeezed pages from page to one after page_end, MOST_PAGES on at most, joined in order.
+
+    Many rows lie on the same pages: each span of pages is put together once.
+    """
     last = F.least(F.greatest(F.coalesce("page_end", "page"), "page") + 1, F.col("page") + MOST_PAGES)
-    pages = rows.where("coalesce(page, 0) > 0").select(*key, F.explode(F.sequence(F.col("page"), last)).alias("page"))
+    spanned = rows.withColumn("__last", last)
+    spans = spanned.where("coalesce(page, 0) > 0").select("doc_id", F.col("page").alias("__first"), "__last").distinct()
+    pages = spans.withColumn("page", F.explode(F.sequence("__first", "__last")))
     texts = page_text.select("doc_id", "page", X.squeezed(F.col("text")).alias("t"))
-    joined = pages.join(texts, ["doc_id", "page"]).groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda x: x["t"]), "").alias("text"))
-    return rows.join(joined, key, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    joined = pages.join(texts, ["doc_id", "page"]).groupBy("doc_id", "__first", "__last").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda x: x["t"]), "").alias("text"))
+    return spanned.join(joined.withColumnRenamed("__first", "page"), ["doc_id", "page", "__last"], "left").withColumn("text", F.coalesce("text", F.lit(""))).drop("__last")
 
 
 def has(text: Column, value: Column) -> Column:
     return F.exists(X.hex_variants(value), lambda v: text.contains(v))
 
 
-def _positions(text: Column, what: Column) -> Column:
-    """The first MOST_SPOTS places (from 1) where `what` occurs: lengths of the text between its occurrences."""
-    before = F.slice(F.split(text, F.concat(F.lit(r"\Q"), what, F.lit(r"\E"))), 1, MOST_SPOTS + 1)
-    hits = F.slice(before, 1, F.size(before) - 1)
-    return F.transform(hits, lambda _, i: F.aggregate(F.slice(hits, 1, i + 1), F.lit(1), lambda a, p: a + F.length(p)) + i * F.length(what))
+def _after(text: Column, what: Column) -> Column:
+    """What stands from each of the first MOST_SPOTS places on where `what` occurs, REACH characters of it."""
+
+    def step(s: Column, _: Column) -> Column:
+        at = F.call_function("locate", what, text, s["next"])
+        found = (s["next"] > 0) & (at > 0)
+        return F.when(found, F.struct((at + F.length(what)).alias("next"), F.concat(s["spots"], F.array(at)).alias("spots"))).otherwise(F.struct(F.lit(0).alias("next"), s["spots"].alias("spots")))
+
+    spots = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_SPOTS)), F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("spots")), step, lambda s: s["spots"])
+    return F.transform(spots, lambda p: F.substr(text, p, F.lit(REACH)))
 
 
 def missing(text: Column) -> Column:
@@ -44,18 +54,18 @@ def missing(text: Column) -> Column:
 
     def field(f: Column) -> Column:
         name, reset = X.squeezed(f["name"]), F.trim(F.coalesce(f["reset"], F.lit("")))
-        spots = _positions(text, F.concat(name, F.lit(":")))
-        spots = F.when(F.size(spots) > 0, spots).otherwise(_positions(text, name))
-        seen = F.exists(spots, lambda p: F.when(F.lower(reset).startswith("0x"), has(F.substr(text, p, F.lit(REACH)), reset)).otherwise(F.substr(text, p, F.lit(REACH)).contains(X.squeezed(reset))))
+        defined = F.concat(name, F.lit(":"))
+        spots = F.when(text.contains(defined), _after(text, defined)).otherwise(_after(text, name))
+        seen = F.exists(spots, lambda t: F.when(F.lower(reset).startswith("0x"), has(t, reset)).otherwise(t.contains(X.squeezed(reset))))
         return F.when((F.coalesce(f["name"], F.lit("")) == "") | (f["name"] == "Reserved"), F.lit(None).cast("string")).when(~text.contains(name), F.concat(F.lit("field:"), f["name"])).when(~F.lower(reset).isin(TRIVIAL) & ~seen, F.concat(F.lit("field_reset:"), f["name"], F.lit("="), reset))
 
     bad = F.filter(F.transform(F.coalesce("fields", F.array().cast("array<struct<bits:string,name:string,desc:string,access:string,reset:string>>")), field), lambda x: x.isNotNull())
     return F.concat(*parts, bad)
 
 
-def registers(regs: DataFrame, page_text: DataFrame, key: tuple[str, ...] = ("doc_id", "rid")) -> DataFrame:
+def registers(regs: DataFrame, page_text: DataFrame) -> DataFrame:
     """regs with verify (ok, mismatch, unchecked), verify_missing (ten at most) and resets_checked."""
-    df = span_text(regs, page_text, list(key)).withColumn("__m", missing(F.col("text")))
+    df = span_text(regs, page_text).withColumn("__m", missing(F.col("text")))
     paged = F.coalesce("page", F.lit(0)) > 0
     checked = F.size(F.filter("fields", lambda f: ~F.lower(F.trim(F.coalesce(f["reset"], F.lit("")))).isin(TRIVIAL)))
     return df.withColumns({
@@ -67,7 +77,7 @@ def registers(regs: DataFrame, page_text: DataFrame, key: tuple[str, ...] = ("do
 
 def memmap(entries: DataFrame, page_text: DataFrame) -> DataFrame:
     """entries with verify and verify_missing: base and end must stand on the page or the next."""
-    df = span_text(entries.withColumn("page_end", F.col("page")), page_text, ["doc_id", "name"])
+    df = span_text(entries.withColumn("page_end", F.col("page")), page_text)
     text = F.col("text")
     bad = F.filter(F.array(F.when(~has(text, F.col("base")), "base"), F.when(F.col("end").isNotNull() & ~has(text, F.coalesce("end", F.lit(""))), "end")), lambda x: x.isNotNull())
     return df.withColumn("verify_missing", bad).withColumn("verify", F.when(F.size("verify_missing") > 0, "mismatch").otherwise("ok")).drop("text", "page_end")
@@ -79,3 +89,10 @@ def summary(regs: DataFrame, entries: DataFrame) -> DataFrame:
     m = entries.groupBy("doc_id").agg(F.count_if(F.col("verify") == "ok").alias("memmap_ok"), F.count_if(F.col("verify") == "mismatch").alias("memmap_mismatch"))
     out = r.join(m, "doc_id", "full")
     return out.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("ok", "mismatch", "unchecked", "field_resets_checked", "memmap_ok", "memmap_mismatch")])
+
+
+def mismatches(regs: DataFrame, entries: DataFrame, shown: int = 6) -> DataFrame:
+    """What wasn't confirmed, a row for each: registers with their first `shown` points, then memory-map entries."""
+    a = regs.where("verify = 'mismatch'").select("doc_id", F.lit("register").alias("what"), "name", "page", F.slice("verify_missing", 1, shown).alias("missing"))
+    b = entries.where("verify = 'mismatch'").select("doc_id", F.lit("memmap").alias("what"), "name", "page", F.col("verify_missing").alias("missing"))
+    return a.unionByName(b)

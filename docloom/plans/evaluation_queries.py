@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.operators import catalog as C
 from docloom.operators import evaluate as E
 from docloom.operators import hints as H
+from docloom.plans import text_queries
 from docloom.plans.register_queries import _REG, _regs
 from docloom.sources import adapters as A
 from docloom.sources import readers
@@ -54,14 +55,43 @@ def _manifest(s, d):  # noqa: ANN001, ANN202
     return C.upsert(now, now.where("CAST(id AS BIGINT) % 4 = 0").withColumn("state", F.lit("new")))
 
 
-def _tree(s, d):  # noqa: ANN001, ANN202
-    """Converted documents made from pages' paragraphs, walked as trees."""
+def _stored(s, d):  # noqa: ANN001, ANN202
+    """Converted documents as they are stored, made from pages' headings, paragraphs and list items."""
     p = readers.html_blocks(A.table(s, d, "pages"))
-    ref = F.concat(F.lit("#/texts/"), F.col("block_ix").cast("string"))
-    item = F.struct(ref.alias("ref"), F.when(F.col("kind") == "heading", "section_header").otherwise("text").alias("label"), F.greatest("level", F.lit(1)).alias("level"), (1 + F.floor(F.col("block_ix") / 3)).cast("int").alias("page"), F.col("text").alias("text"))
-    docs = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_ix", item.alias("x")))).alias("t"))
-    js = F.to_json(F.struct(F.transform("t", lambda t: t["x"]["ref"]).alias("body"), F.transform("t", lambda t: t["x"]).alias("texts")))
-    return readers.blocks(docs.select("doc_id", js.alias("json"))).select("doc_id", "block_ix", "kind", "page", F.length("text").alias("n_chars"))
+    ref = lambda k: F.struct(F.concat(F.lit("#/texts/"), k.cast("string")).alias("$ref"))
+    prov = F.array(F.struct((1 + F.floor(F.col("block_ix") / 3)).cast("int").alias("page_no")))
+    item = F.struct(F.concat(F.lit("#/texts/"), F.col("block_ix").cast("string")).alias("self_ref"), F.when(F.col("kind") == "heading", "section_header").otherwise("text").alias("label"), F.when(F.col("block_ix") % 11 == 10, "furniture").otherwise("body").alias("content_layer"), F.greatest("level", F.lit(1)).alias("level"), prov.alias("prov"), F.col("text").alias("text"))
+    docs = p.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", item.alias("x")))), lambda t: t["x"]).alias("t"))
+    body = F.struct(F.transform("t", lambda t, k: ref(k)).alias("children"))
+    return docs.select("doc_id", F.to_json(F.struct(body.alias("body"), F.col("t").alias("texts"))).alias("json"))
+
+
+def _tree(s, d):  # noqa: ANN001, ANN202
+    return readers.blocks(_stored(s, d)).select("doc_id", "block_ix", "kind", "page", "level", F.length("text").alias("n_chars"))
+
+
+def _entries(s, d):  # noqa: ANN001, ANN202
+    """Documents as entries of a catalog."""
+    k = F.col("doc_id")
+    counts = F.create_map(F.lit("registers"), (k % 13).cast("string"), F.lit("tables"), (k % 5).cast("string"), F.lit("figures"), (k % 3).cast("string"), F.lit("sections"), F.lit("4"))
+    verified = F.when(k % 4 > 0, F.create_map(F.lit("ok"), (k % 17).cast("int"), F.lit("mismatch"), (k % 2).cast("int"), F.lit("memmap_ok"), (k % 6).cast("int"), F.lit("memmap_mismatch"), F.lit(0)))
+    return A.table(s, d, "documents").select(k.cast("string").alias("id"), F.concat(F.lit("Title of "), "source").alias("title"), F.when(k % 2 == 0, "manual").otherwise("errata").alias("kind"), (F.col("n_chars") % 900).cast("int").alias("pages"), F.when(k % 3 == 0, F.array(F.lit(1), F.lit(9))).alias("page_range"), F.create_map(F.lit("mean"), F.lit("good")).alias("grades"), F.when(k % 10 == 0, F.array(F.lit(2), F.lit(5))).otherwise(F.array().cast("array<int>")).alias("low_pages"), counts.alias("counts"), F.coalesce(verified, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))).alias("verify"))
+
+
+def _runs(s, d):  # noqa: ANN001, ANN202
+    return A.table(s, d, "events").select((F.col("event_id") % 500).cast("string").alias("id"), F.when(F.col("event_id") % 2 == 0, "indexed").otherwise("baseline").alias("mode"), F.col("event_id").alias("run"), F.col("user_id").alias("value"))
+
+
+def _usage(s, d):  # noqa: ANN001, ANN202
+    e = F.col("event_id")
+    by_model = F.when(e % 3 > 0, F.create_map(F.lit("a"), e % 100, F.lit("b"), F.col("user_id"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))
+    return A.table(s, d, "events").select("event_id", E.token_usage(by_model, e * 2).alias("tokens"))
+
+
+def _regraded(s, d):  # noqa: ANN001, ANN202
+    """Answers graded once against nothing, then against the present expectations."""
+    old = _answers(s, d).withColumns({"must": F.lit("NOT_FOUND"), "correct": F.lit(0), "cited": F.lit(0), "missing": F.lit("")})
+    return E.regrade(old, _answers(s, d).select("id", "must")).select("id", "mode", "correct", "cited", F.array_join("missing", ",").alias("missing"))
 
 
 QUERIES = {
@@ -77,13 +107,20 @@ QUERIES = {
     "build_freshness": _stale,
     "manifest_upsert": _manifest,
     "document_tree": _tree,
-    "session_announce": lambda s, d: H.announce(A.table(s, d, "nation").select(F.col("n_name").alias("id"), F.lit("manual").alias("kind"), F.col("n_regionkey").alias("pages"))),
+    "session_announce": lambda s, d: H.announce(_entries(s, d)),
+    "status_lines": lambda s, d: C.status_lines(_entries(s, d)),
+    "qa_head": lambda s, d: C.qa_head(_entries(s, d)),
+    "eval_regrade": _regraded,
+    "eval_latest": lambda s, d: E.latest(_runs(s, d)),
+    "eval_summary_line": lambda s, d: E.summary_lines(E.report(A.eval_rows(s, d))),
+    "token_usage": _usage,
+    "build_freshness_stored": lambda s, d: C.stale(_docs(s, d), _docs(s, d), stored=_docs(s, d).where("CAST(id AS BIGINT) % 6 <> 0"), images=_docs(s, d).where("CAST(id AS BIGINT) % 7 <> 0")).select("id"),
 }
 
 _PROMPTS = "pr AS (SELECT conv_id || '-' || turn AS prompt_id, 'What does R' || ((conv_id * 7 + turn) % (SELECT count(*) FROM part)) || '_CTRL do in the USB part of P' || (conv_id % 1000) || '? ' || coalesce(text, '') AS prompt FROM conversations WHERE role = 'user')"
 _TOKENS = f"""{_PROMPTS}, tk AS (SELECT prompt_id, list_filter(regexp_extract_all(prompt, '\\b[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)*\\b'), lambda t: NOT list_contains([{", ".join(f"'{w}'" for w in H.STOP)}], t) AND (contains(t, '_') OR regexp_matches(t, '[0-9]') OR length(t) >= 4)) AS t FROM pr),
 tl AS (SELECT prompt_id, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 40) AS t FROM tk)"""
-_EV = "ev AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS category, CASE WHEN event_id % 2 = 0 THEN 'indexed' ELSE 'baseline' END AS mode, CAST(event_id % 3 <> 0 AS INT) AS correct, CAST(event_id % 5 <> 0 AS INT) AS cited, round(value, 4) AS cost_usd, user_id * 13 % 1000 AS tokens_total, event_id % 9 AS turns, event_id % 17 AS wall_s, event_id % 11 = 0 AS denied FROM events)"
+_EV = "ev AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS category, CASE WHEN event_id % 2 = 0 THEN 'indexed' ELSE 'baseline' END AS mode, CAST(event_id % 3 <> 0 AS INT) AS correct, CAST(event_id % 5 <> 0 AS INT) AS cited, round(value, 4) AS cost_usd, user_id * 13 % 1000 AS tokens_total, event_id % 9 AS turns, user_id % 311 AS unc, event_id % 53 AS outp, event_id % 17 AS wall_s, event_id % 11 = 0 AS denied FROM events)"
 ORACLES = {
     "prompt_tokens": f"WITH {_TOKENS} SELECT prompt_id, array_to_string(t, ',') AS tokens FROM tl",
     "prompt_hint": f"""WITH {_REG}, {_TOKENS}, a AS (SELECT prompt_id, unnest(t) AS token FROM tl),
@@ -104,12 +141,24 @@ g AS (SELECT k, c, CASE k % 5
 SELECT CAST(k AS VARCHAR) AS id, CASE WHEN k % 2 = 0 THEN 'indexed' ELSE 'baseline' END AS mode, CAST(missing = '' AS INT) AS correct,
 CAST(CASE WHEN k % 2 = 0 THEN k % 5 = 0 OR (k % 5 = 4 AND c % 2 = 1) ELSE k % 5 IN (0, 1) OR (k % 5 = 4 AND c % 2 = 1) END AS INT) AS cited, missing FROM g""",
     "eval_report": f"""WITH {_EV} SELECT mode, count(*) AS n, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(cited) AS BIGINT) AS cited, round(sum(cost_usd), 4) AS cost_total, round(avg(cost_usd), 4) AS cost_mean, round(avg(tokens_total), 4) AS tokens_mean,
-list_sort(list(tokens_total))[count(*) // 2 + 1] AS tokens_median, round(avg(turns), 4) AS turns_mean, round(avg(wall_s), 4) AS wall_mean, count(*) FILTER (denied) AS denied_runs FROM ev GROUP BY mode""",
+list_sort(list(tokens_total))[count(*) // 2 + 1] AS tokens_median, round(avg(unc), 4) AS uncached_mean, round(avg(outp), 4) AS output_mean, round(avg(turns), 4) AS turns_mean, round(avg(wall_s), 4) AS wall_mean, count(*) FILTER (denied) AS denied_runs FROM ev GROUP BY mode""",
     "eval_crosstab": f"WITH {_EV} SELECT category, (sum(correct) FILTER (mode = 'indexed')) || '/' || (count(*) FILTER (mode = 'indexed')) AS indexed, (sum(correct) FILTER (mode = 'baseline')) || '/' || (count(*) FILTER (mode = 'baseline')) AS baseline FROM ev GROUP BY category",
-    "eval_wrong": f"WITH {_EV} SELECT mode, string_agg(id, ', ' ORDER BY id) AS ids FROM ev WHERE correct = 0 GROUP BY mode",
+    "eval_wrong": f"WITH {_EV} SELECT mode, id, '' AS missing FROM ev WHERE correct = 0",
     "eval_upsert": f"WITH {_EV} SELECT id, mode, CAST(CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN 7 ELSE correct END AS INT) AS correct, CAST(CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 1000 - CAST(id AS BIGINT) % 1000 ELSE 999 END AS INT) AS place FROM ev",
     "upper_median": "SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median FROM lineitem GROUP BY l_suppkey",
-    "session_announce": "SELECT 'documents: ' || string_agg(n_name || ' (manual, ' || n_regionkey || ' pages)', '; ' ORDER BY n_name) AS announcement FROM nation",
+    "session_announce": """SELECT CAST(doc_id AS VARCHAR) AS id, doc_id || CASE WHEN doc_id % 2 = 0 THEN ' [manual]: "Title of ' ELSE ' [errata]: "Title of ' END || source || '" ' || (n_chars % 900) || 'p, ' || (doc_id % 13) || ' registers, ' || (doc_id % 5) || ' tables' || CASE WHEN doc_id % 3 > 0 THEN ', ' || (doc_id % 3) || ' figures' ELSE '' END AS line FROM documents""",
+    "status_lines": """SELECT CAST(doc_id AS VARCHAR) AS id, doc_id || CASE WHEN doc_id % 2 = 0 THEN ' [manual]: "Title of ' ELSE ' [errata]: "Title of ' END || source || '" ' || (n_chars % 900) || 'p' || CASE WHEN doc_id % 3 = 0 THEN ' (pages 1-9 of the source)' ELSE '' END || ', 4 section files, 0 headings, ' || (doc_id % 5) || ' tables' || CASE WHEN doc_id % 3 > 0 THEN ', ' || (doc_id % 3) || ' figures (0 png)' ELSE '' END
+|| ', ' || (doc_id % 13) || ' registers, 0 base addresses; confidence mean=good low=? low_pages=' || CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 0 END || ';' || CASE WHEN doc_id % 4 > 0 THEN ' verify ok=' || (doc_id % 17) || ' mismatch=' || (doc_id % 2) ELSE '' END || CASE WHEN doc_id % 4 > 0 AND doc_id % 6 > 0 THEN ', memmap ok=' || (doc_id % 6) || ' mismatch=0' ELSE '' END AS line FROM documents""",
+    "qa_head": """WITH l AS (SELECT doc_id, list_filter(['# QA — ' || doc_id, 'Confidence: mean=good low=?', CASE WHEN doc_id % 10 = 0 THEN 'Pages with low confidence (2): 2, 5' END, CASE WHEN doc_id % 4 > 0 THEN 'Registers: ok=' || (doc_id % 17) || ' mismatch=' || (doc_id % 2) || ' unchecked=0; field resets checked: 0' END,
+    CASE WHEN doc_id % 4 > 0 AND doc_id % 6 > 0 THEN 'Base addresses: ok=' || (doc_id % 6) || ' mismatch=0' END], lambda x: x IS NOT NULL) AS l FROM documents) SELECT CAST(doc_id AS VARCHAR) AS id, CAST(unnest(range(len(l))) AS INT) AS ix, unnest(l) AS line FROM l""",
+    "eval_latest": "SELECT CAST(event_id % 500 AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN 'indexed' ELSE 'baseline' END AS mode, max(event_id) AS run, max_by(user_id, event_id) AS value FROM events GROUP BY 1, 2",
+    "eval_summary_line": f"WITH {_EV} SELECT mode, mode || ': ' || sum(correct) || '/' || count(*) || ' correct, ' || sum(cited) || '/' || count(*) || ' with page citation, avg ' || format('{{:,}}', CAST(round(round(avg(tokens_total), 4)) AS BIGINT)) || ' tokens, $' || printf('%.3f', round(avg(cost_usd), 4)) || '/question, ' || printf('%.1f', round(avg(turns), 4)) || ' turns' AS line FROM ev GROUP BY mode",
+    "token_usage": "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_id % 100 + user_id ELSE event_id * 2 END AS tokens FROM events",
+    "build_freshness_stored": "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 6 = 0 OR doc_id % 7 = 0",
     "build_freshness": "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 = 0 OR doc_id % 9 = 0",
     "manifest_upsert": "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS state FROM documents",
 }
+ORACLES["eval_regrade"] = ORACLES["grade_answers"]
+_HTML = text_queries.ORACLES["html_blocks"]
+ORACLES["document_tree"] = f"""WITH h AS ({_HTML}), k AS (SELECT * FROM h WHERE block_ix % 11 <> 10 AND (kind = 'heading' OR text <> ''))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_ix) - 1 AS block_ix, CASE WHEN kind = 'heading' THEN 'heading' ELSE 'text' END AS kind, CAST(1 + block_ix // 3 AS INT) AS page, CAST(CASE WHEN kind = 'heading' THEN level ELSE 0 END AS INT) AS level, CAST(length(text) AS INT) AS n_chars FROM k"""

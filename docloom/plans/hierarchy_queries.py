@@ -10,7 +10,7 @@ from docloom.sources import adapters as A
 
 BLOCKS = """raw AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS block_ix FROM documents),
 r2 AS (SELECT *, block_ix AS i, block_ix % 6 IN (0, 3, 4) AS h, CASE block_ix % 6 WHEN 0 THEN CAST(block_ix // 6 + 1 AS VARCHAR) WHEN 3 THEN (block_ix // 6 + 1) || '.1' ELSE '' END AS sec FROM raw),
-r3 AS (SELECT *, CASE WHEN NOT h THEN '' WHEN i % 24 = 4 THEN 'Contents' ELSE substr(line, 1, 30) END AS title FROM r2),
+r3 AS (SELECT *, CASE WHEN NOT h THEN '' WHEN i % 24 = 4 THEN 'Contents' ELSE line END AS title FROM r2),
 b AS (SELECT doc_id, block_ix, CASE WHEN h THEN 'heading' ELSE 'text' END AS kind, CASE WHEN h THEN CASE WHEN sec <> '' THEN sec || ' ' ELSE '' END || title ELSE line END AS text, CAST(1 + i // 4 AS INT) AS page,
     CASE i % 6 WHEN 0 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 0 END AS level, sec, title FROM r3)"""
 _NUM = "last_value(CASE WHEN kind = 'heading' AND sec <> '' THEN sec END IGNORE NULLS) OVER (PARTITION BY {0} ORDER BY block_ix)"
@@ -56,7 +56,7 @@ QUERIES = {
     "section_extent": lambda s, d: H.section_extent(_heads(s, d)).select("doc_id", "block_ix", "line", "line_end"),
     "section_find": lambda s, d: H.find_section(_heads(s, d), "§2.1").select("doc_id", "block_ix", "sec", "title"),
     "section_find_title": lambda s, d: H.find_section(_heads(s, d), "the").select("doc_id", "block_ix", "sec"),
-    "build_counts": lambda s, d: C.build_counts(_blocks(s, d)).select("doc_id", "blocks", "headings", "tables", "figures", "numbered", "pages"),
+    "build_counts": lambda s, d: C.block_counts(_blocks(s, d)).select("doc_id", "blocks", "headings", "tables", "figures", "numbered", "pages"),
     "render_lines": lambda s, d: H.markdown_lines(_parts(s, d)).select("doc_id", "block_ix", F.md5("md").alias("digest")),
     "search_records": lambda s, d: H.chunks(H.line_numbers(_parts(s, d))).select("doc_id", "rowid", "file", "line", "section", "kind"),
     "split_parts": _split,
@@ -88,7 +88,7 @@ SELECT doc_id, block_ix, CAST(CASE WHEN n < 3 OR kind <> 'heading' THEN level EL
     "section_find": f"{_HEADS}, t AS (SELECT *, CASE WHEN sec = '2.1' THEN 0 WHEN contains(lower(title), '2.1') THEN 1 END AS tier FROM hd) SELECT doc_id, block_ix, sec, title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier, block_ix) AS k FROM t WHERE tier IS NOT NULL) WHERE k = 1",
     "section_find_title": f"{_HEADS} SELECT doc_id, block_ix, sec FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_ix) AS k FROM hd WHERE contains(lower(title), 'the')) WHERE k = 1",
     "build_counts": f"WITH {BLOCKS} SELECT doc_id, count(*) AS blocks, count(*) FILTER (kind = 'heading') AS headings, count(*) FILTER (kind = 'table') AS tables, count(*) FILTER (kind = 'picture') AS figures, count(*) FILTER (kind = 'heading' AND sec <> '') AS numbered, max(page) AS pages FROM b GROUP BY doc_id",
-    "render_lines": f"WITH {BLOCKS}, {_PARTS}, {_ANCHOR} SELECT doc_id, block_ix, md5(CASE WHEN anchor THEN '<!-- p.' || page || ' -->' || chr(10) ELSE '' END || CASE WHEN kind = 'heading' THEN repeat('#', level) || ' ' || text || ' <!-- p.' || page || ' -->' ELSE text END || chr(10)) AS digest FROM an",
+    "render_lines": f"WITH {BLOCKS}, {_PARTS}, {_ANCHOR} SELECT doc_id, block_ix, md5(CASE WHEN anchor THEN '<!-- p.' || page || ' -->' || chr(10) ELSE '' END || CASE WHEN kind = 'heading' THEN repeat('#', level) || ' ' || text || ' <!-- p.' || page || ' -->' WHEN text = '' THEN '' ELSE text END || CASE WHEN kind = 'text' AND text = '' THEN '' ELSE chr(10) END) AS digest FROM an",
     "search_records": f"WITH {BLOCKS}, {_PARTS}, {_ANCHOR}, {_LINES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_ix) AS rowid, part_ix || '.md' AS file, line, coalesce({_NUM.format('doc_id, part_ix')}, {_TITLE.format('doc_id, part_ix')}, '') AS section, kind FROM lines",
 }
 
@@ -97,8 +97,24 @@ def _pictures(s, d):  # noqa: ANN001, ANN202
     """Line blocks in which some lines are pictures and some hold captions."""
     i = F.col("block_ix")
     df = _blocks(s, d)
-    cap = F.concat(F.lit("Figure "), i.cast("string"), F.lit(". Drawing of "), F.substring("text", 1, 20))
-    return df.withColumns({"kind": F.when(i % 7 == 2, "picture").otherwise(F.col("kind")), "title": F.when(i % 7 == 2, "").otherwise(F.col("title")), "text": F.when(i % 7 == 2, "").when((i % 7 == 5) & (F.col("kind") == "text"), cap).otherwise(F.col("text"))})
+    cap = F.concat(F.lit("Figure "), i.cast("string"), F.lit(". Drawing of "), F.col("text"))
+    return df.withColumns({"table_id": F.when(i % 7 == 2, F.concat(F.lit("f"), i.cast("string"))).otherwise(""), "kind": F.when(i % 7 == 2, "picture").otherwise(F.col("kind")), "title": F.when(i % 7 == 2, "").otherwise(F.col("title")), "text": F.when(i % 7 == 2, "").when((i % 7 == 5) & (F.col("kind") == "text"), cap).otherwise(F.col("text"))})
 
 
 QUERIES["margin_captions"] = lambda s, d: H.margin_captions(_pictures(s, d))
+# A picture's nearest caption is three blocks on; the one before it is the picture's before.
+ORACLES["margin_captions"] = f"""WITH {BLOCKS} SELECT a.doc_id, a.block_ix, substr(trim(regexp_replace('Figure ' || c.block_ix || '. Drawing of ' || c.text, '\\s+', ' ', 'g')), 1, 220) AS caption FROM b a JOIN b c ON a.doc_id = c.doc_id AND c.block_ix = a.block_ix + 3
+WHERE a.block_ix % 7 = 2 AND c.kind = 'text'"""
+# Parts by top level, small ones joined to the one before in order (no document is large enough to be parted further).
+_JOINED = f"""{BLOCKS}, {_PARTS}, z AS (SELECT doc_id, part_ix, CAST(sum(length(text) + 2) AS BIGINT) AS size, min(block_ix) AS first, max(block_ix) AS last, min_by(CASE WHEN kind = 'heading' AND level = top THEN title END, block_ix) AS title, min_by(CASE WHEN kind = 'heading' AND level = top THEN sec END, block_ix) AS sec FROM p GROUP BY doc_id, part_ix),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part_ix) AS k FROM z),
+j AS (SELECT doc_id, k, 0 AS part, size AS total, title IS NOT NULL AS headed, title, sec, first, last FROM n WHERE k = 1
+    UNION ALL SELECT n.doc_id, n.k, CASE WHEN j.headed AND n.title IS NOT NULL AND n.size < 12000 AND j.total + n.size < 36000 THEN j.part ELSE j.part + 1 END, CASE WHEN j.headed AND n.title IS NOT NULL AND n.size < 12000 AND j.total + n.size < 36000 THEN j.total + n.size ELSE n.size END, n.title IS NOT NULL,
+        CASE WHEN j.headed AND n.title IS NOT NULL AND n.size < 12000 AND j.total + n.size < 36000 THEN j.title ELSE n.title END, CASE WHEN j.headed AND n.title IS NOT NULL AND n.size < 12000 AND j.total + n.size < 36000 THEN j.sec ELSE n.sec END, n.first, n.last FROM j JOIN n ON n.doc_id = j.doc_id AND n.k = j.k + 1),
+nm AS (SELECT doc_id, k, part, first, last, lpad(CAST(part AS VARCHAR), CAST(greatest(2, length(CAST(part AS VARCHAR))) AS INT), '0') || '-' || CASE WHEN title IS NULL THEN 'front-matter' ELSE CASE WHEN sec <> '' THEN replace(sec, '.', '_') || '-' ELSE '' END ||
+    coalesce(nullif(regexp_replace(substr(lower(regexp_replace(regexp_replace(title, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 1, 32), '-+$', ''), ''), 'section') END AS part_name FROM j)"""
+ORACLES["split_parts"] = f"WITH RECURSIVE {_JOINED} SELECT b.doc_id, part_name, count(*) AS n_blocks, CAST(sum(length(text) + 2) AS BIGINT) AS size FROM nm JOIN b ON b.doc_id = nm.doc_id AND b.block_ix BETWEEN first AND last GROUP BY b.doc_id, part_name"
+# Twenty documents as one, so that parts fill up.
+_SETS = BLOCKS.replace("SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(", "SELECT doc_id AS d, unnest(", 1).replace("b AS (SELECT doc_id, block_ix,", "b AS (SELECT 'set' || (d // 20) AS doc_id, d * 1000000 + block_ix AS block_ix,")
+QUERIES["split_parts_sets"] = lambda s, d: H.split_parts(A.set_blocks(s, d)).groupBy("doc_id", "part_name").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("text") + 2).alias("size"))
+ORACLES["split_parts_sets"] = ORACLES["split_parts"].replace(BLOCKS, _SETS)

@@ -8,6 +8,7 @@ from docloom.functions import text as X
 from docloom.operators import catalog, link, lookup, memmap, verify
 from docloom.operators import registers as R
 from docloom.sources import adapters as A
+from docloom.sources import shared
 
 
 def _blocks(s, d):  # noqa: ANN001, ANN202
@@ -15,11 +16,12 @@ def _blocks(s, d):  # noqa: ANN001, ANN202
 
 
 def _regs(s, d):  # noqa: ANN001, ANN202
-    return R.extract(_blocks(s, d)).withColumn("rid", F.concat_ws(":", "block_ix", "name")).persist()  # the fold runs once, links read it often
+    """Written once in a session: links and checks read them often."""
+    return shared.stored(R.extract(_blocks(s, d)).withColumn("rid", F.concat_ws(":", "block_ix", "name")), "registers", d)
 
 
 def _map(s, d):  # noqa: ANN001, ANN202
-    return memmap.merge(memmap.entries(_blocks(s, d))).persist()
+    return shared.stored(memmap.merge(memmap.entries(_blocks(s, d))), "memmap", d)
 
 
 def _linked(s, d):  # noqa: ANN001, ANN202
@@ -72,10 +74,10 @@ def _regs_shown(df):  # noqa: ANN001, ANN202
 QUERIES = {
     "fields_from_text": _fields,
     "field_rows": _rows,
-    "register_fold": lambda s, d: _regs_shown(_regs(s, d)),
+    "register_fold": lambda s, d: _regs_shown(R.extract(_blocks(s, d))),
     "reg_lookup_exact": lambda s, d: R.lookup(_regs(s, d), "r7_ctrl").select("doc_id", "name", "tier"),
     "reg_lookup_partial": lambda s, d: R.lookup(_regs(s, d), "p3", n=20).select("doc_id", "name", "peripheral", "tier"),
-    "reg_format": lambda s, d: _regs(s, d).select("doc_id", "rid", R.formatted().alias("line")),
+    "reg_format": lambda s, d: _regs(s, d).select("doc_id", "rid", R.formatted(["offset"]).alias("line")),
     "memmap_sentence": lambda s, d: memmap.entries(_blocks(s, d)).select("doc_id", "ix", "name", "base", "section", "source", "desc"),
     "memmap_define_table": lambda s, d: memmap.entries(_tables(s, d, "defines")).select("doc_id", "ix", "name", "base", "source", "page"),
     "memmap_boundary_table": lambda s, d: memmap.entries(_tables(s, d, "ranges")).select("doc_id", "ix", "name", "base", "end", "bus", "source"),
@@ -153,3 +155,29 @@ SELECT doc_id, coalesce(ok, 0) AS ok, coalesce(mismatch, 0) AS mismatch, CAST(0
     "qa_report": f"WITH {_PAGES} SELECT * FROM (SELECT doc_id, 'register' AS what, name, page, array_to_string(mi[1:6], ', ') AS missing FROM vr WHERE verify = 'mismatch' ORDER BY doc_id, name LIMIT 200) UNION ALL SELECT * FROM (SELECT doc_id, 'memmap', name, page, 'base' FROM vm WHERE verify = 'mismatch' ORDER BY doc_id, name LIMIT 100)",
     "strict_gate": f"WITH {_PAGES}, a AS (SELECT doc_id, count(*) FILTER (verify = 'mismatch') AS x FROM (SELECT doc_id, verify FROM vr UNION ALL SELECT doc_id, verify FROM vm) GROUP BY doc_id), l AS (SELECT 'man' || s_nationkey AS doc_id, count(*) FILTER (s_suppkey % 41 = 0 OR s_suppkey % 37 = 0) AS l FROM supplier GROUP BY 1) SELECT doc_id, x = 0 AND l = 0 AS passed FROM a JOIN l USING (doc_id)",
 }
+
+QUERIES["register_layouts"] = lambda s, d: _regs_shown(R.extract(A.layout_blocks(s, d)))
+QUERIES["verify_mismatches"] = lambda s, d: verify.mismatches(_verified(s, d), _verified_map(s, d)).select("doc_id", "what", "name", "page", F.array_join("missing", ",").alias("missing"))
+QUERIES["reg_format_linked"] = lambda s, d: _addressed(s, d).select("doc_id", "rid", R.formatted(["bases", "file", "line"]).alias("line"))
+QUERIES["reg_fields_shown"] = lambda s, d: R.field_lines(_regs(s, d)).select("doc_id", "name", "k", "line")
+
+
+def _addressed(s, d):  # noqa: ANN001, ANN202
+    """Linked registers of two instances each, cited by file and line."""
+    linked = _linked(s, d)
+    two = F.map_from_arrays(F.array(F.lit("A"), F.lit("B")), F.array(F.lit("0x40000000"), F.lit("0x50000000")))
+    return linked.withColumns({"bases": F.when(F.col("page") % 2 == 0, two).otherwise(F.col("bases")), "address": F.when(F.col("page") % 2 == 0, F.lit(None).cast("string")).otherwise(F.col("address")), "file": F.lit("01-x.md"), "line": F.col("page") + 7})
+
+
+_LAY = """SELECT 'lay' || (p_partkey // 50) AS doc_id, p_partkey AS p, CAST(p_partkey * 10 AS INT) AS page FROM part"""
+ORACLES["register_layouts"] = f"""WITH l AS ({_LAY}), x AS (
+SELECT doc_id, 'GPIO' || i || '_C' || p AS name, 'IO' AS peripheral, printf('0x%03x', 8 * i) AS "offset", NULL AS reset, NULL AS address, CAST(p AS VARCHAR) AS section, page, page AS page_end, 'GPIO0_C' || p || '…GPIO7_C' || p AS family, i BETWEEN 2 AND 6 AS derived, 't' || p AS table_id, 2 AS n, '31:5|Reserved||-|-;4:0|FUNCSEL|function|RW|0x1f' AS fields FROM l, (SELECT unnest(range(8)) AS i) WHERE p % 5 = 0
+UNION ALL SELECT doc_id, 'RCC' || p || '_CR', 'RCC' || p, printf('0x%02x', p % 64), printf('0x000000%02x', p % 256), NULL, p || '.1', page + 1, page + 2, NULL, false, NULL, 3, '31:28|Reserved|Reserved, must be kept;27|PLLRDY|ready;6:4|RANGE[2:0]|speed' FROM l WHERE p % 5 = 1
+UNION ALL SELECT doc_id, 'TIM' || p || '_CTL', 'TIM' || p, '0x10', NULL, NULL, CAST(p AS VARCHAR), page, page + 1, NULL, false, 't' || p, 2, '31:16|A|a|RW|0;15:0|B|b|RW|0' FROM l WHERE p % 5 = 2
+UNION ALL SELECT doc_id, 'ONE' || p || '_R', 'AUX', '0x04', NULL, printf('0x%08x', 1073741824 + p * 16), CAST(p AS VARCHAR), page, page, NULL, false, 't' || p, 1, '31:0|ONE' || p || '_R||RW|0x5' FROM l WHERE p % 5 = 3
+UNION ALL SELECT doc_id, 'ONE' || p || 'X', 'P', '0x0', NULL, NULL, CAST(p AS VARCHAR), page, page, NULL, false, 't' || p, 1, '31:8|A|a|RW|0' FROM l WHERE p % 5 = 4
+UNION ALL SELECT doc_id, 'TWO' || p || 'X', 'P', '0x4', NULL, NULL, CAST(p AS VARCHAR), page, page + 1, NULL, false, CAST(p AS VARCHAR), 3, '11:8|CLK_A|restart the divider.|SC|0;7:4|CLK_B|Write 1|SC|0;31:0|C|c|RW|0' FROM l WHERE p % 5 = 4)
+SELECT doc_id, name, peripheral, "offset", reset, address, section, page, page_end, family, derived, 'good' AS confidence, table_id, CAST(n AS INT) AS n_fields, fields FROM x"""
+ORACLES["verify_mismatches"] = f"WITH {_PAGES} SELECT doc_id, 'register' AS what, name, page, array_to_string(mi[1:6], ',') AS missing FROM vr WHERE verify = 'mismatch' UNION ALL SELECT doc_id, 'memmap', name, page, 'base' FROM vm WHERE verify = 'mismatch'"
+ORACLES["reg_format_linked"] = f"""WITH {_REG} SELECT doc_id, rid, name || ' [' || doc_id || ' §' || section || ' p.' || page || ' sections/01-x.md:' || (page + 7) || '] offset ' || "offset" || ' reset ' || reset || ' @ ' || CASE WHEN page % 2 = 0 THEN 'A ' || printf('0x%08x', 1073741824 + 4 * (p % 1024)) || ', B ' || printf('0x%08x', 1342177280 + 4 * (p % 1024)) ELSE address END || ': [31:16] SIZE, [15:0] KEY' AS line FROM r"""
+ORACLES["reg_fields_shown"] = f"""WITH {_REG} SELECT doc_id, name, CAST(k AS INT) AS k, CASE k WHEN 0 THEN '   31:16  ' || rpad('SIZE', 18, ' ') || ' RW reset=' || printf('0x%x', p_size) || '  Size of part ' || p ELSE '    15:0  ' || rpad('KEY', 18, ' ') || ' RO reset=-  key ' || p END AS line FROM (SELECT * EXCLUDE (k) FROM r), (SELECT unnest([0, 1]) AS k)"""

@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as chunks: the first line is a heading, one with " | " a table; a source is a document."""
-    df = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ix", "text"))
+    """Lines of documents as chunks: the first line is a heading, one with " | " a table; twenty neighbours are a document."""
+    df = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("set"), F.floor(F.col("doc_id") / 20).cast("string")).alias("source"), F.posexplode(F.split("text", "\n")).alias("ix", "text"))
     kind = F.when(F.col("ix") == 0, "heading").when(F.col("text").contains(" | "), "table").otherwise("text")
     return df.select(F.col("source").alias("doc_id"), (F.col("doc_id") * 1_000_000 + F.col("ix")).alias("rowid"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), (F.col("ix") + 1).cast("int").alias("line"), (1 + F.floor(F.col("ix") / 5)).cast("int").alias("page"), F.concat((F.col("doc_id") % 7).cast("string"), F.lit("."), F.col("ix").cast("string")).alias("section"), kind.alias("kind"), F.lit("").alias("tid"), "text")
 
@@ -25,7 +25,7 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = F.col("i")
     sec = F.when(ix % 6 == 0, (F.floor(ix / 6) + 1).cast("string")).when(ix % 6 == 3, F.concat((F.floor(ix / 6) + 1).cast("string"), F.lit(".1")))
     heading = (ix % 6 == 0) | (ix % 6 == 3) | (ix % 6 == 4)
-    title = F.when(ix % 24 == 4, "Contents").otherwise(F.substring("line", 1, 30))
+    title = F.when(ix % 24 == 4, "Contents").otherwise(F.col("line"))
     return df.select("doc_id", ix.cast("bigint").alias("block_ix"), F.when(heading, "heading").otherwise("text").alias("kind"), "line", sec.alias("s"), F.when(heading, title).otherwise("").alias("title"), (1 + F.floor(ix / 4)).cast("int").alias("page"), F.when(ix % 6 == 0, 1).when(ix % 6 == 3, 2).when(ix % 6 == 4, 3).otherwise(0).alias("level")).select("doc_id", "block_ix", "kind", F.when(F.col("kind") == "heading", F.concat(F.coalesce(F.concat("s", F.lit(" ")), F.lit("")), F.col("title"))).otherwise(F.col("line")).alias("text"), "page", "level", F.coalesce("s", F.lit("")).alias("sec"), "title", F.lit("").alias("table_id"), F.lit(None).cast("array<array<string>>").alias("grid"), F.lit(False).alias("spans"), F.lit(None).cast("array<struct<r:int,c:int,rs:int,cs:int,text:string,hdr:boolean>>").alias("cells"))
 
 
@@ -63,6 +63,44 @@ def register_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("doc_id", ix.cast("bigint").alias("block_ix"), "b.kind", "b.text", key.cast("int").alias("page"), "b.level", "b.sec", "b.title", F.when(F.col("b.kind") == "table", F.concat(F.lit("t"), F.col("p").cast("string"))).otherwise("").alias("table_id"), "b.grid", F.lit(False).alias("spans"), F.lit(None).cast("array<struct<r:int,c:int,rs:int,cs:int,text:string,hdr:boolean>>").alias("cells"))
 
 
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manual for each fifty parts, in which registers are printed in five ways: a family by its first and last members with
+    its label and offsets in two blocks; a heading with the name in parentheses and bits in paragraphs over two pages; a
+    caption and a table that goes on on the next page; a printed address and one field without a name; rows of a register's
+    table after the next one's heading."""
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    p, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    at, none = (p * 10).cast("int"), F.lit(None).cast("array<array<string>>")
+    row = lambda *c: F.array(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    text = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    head = row("Bits", "Description", "Type", "Reset")
+
+    def block(kind, words="", page=0, level=0, sec=None, grid=none, tid=""):  # noqa: ANN001, ANN202
+        words = F.lit(words) if isinstance(words, str) else words
+        sec = F.lit("") if sec is None else sec
+        shown = F.when(sec != "", F.concat(sec, F.lit(" "), words)).otherwise(words) if kind == "heading" else words
+        return F.struct(F.lit(kind).alias("kind"), shown.alias("text"), (at + page).alias("page"), F.lit(level).alias("level"), sec.alias("sec"), (words if kind == "heading" else F.lit("")).alias("title"), F.concat(F.lit(tid), n).alias("table_id"), grid.alias("grid"))
+
+    named = lambda *c: block("heading", text(*c), level=3)
+    dots = F.when(p % 2 == 0, "…").otherwise("\ufffd")
+    family = [named("IO: GPIO0_C", n, ", GPIO1_C", n, ", ", dots, ", GPIO7_C", n, " Registers"), block("text", "Offsets"), block("text", text(": 0x000, 0x008, ", dots)), block("table", grid=F.array(head, row("31:5", "Reserved.", "-", "-"), row("4:0", "FUNCSEL: function", "RW", "0x1f")), tid="t")]
+    paragraphs = [block("heading", text("Clock control register (RCC", n, "_CR)"), 1, 2, text(n, ".1")), block("text", text("Address offset: ", X.to_hex((p % 64).cast("bigint"), 2)), 1), block("text", text("Reset value: 0x0000 00", F.lpad(F.hex(p % 256), 2, "0")), 1), block("text", "Bits 31:28 Reserved, must be kept\n\nBit 27 PLLRDY: ready", 1), block("text", "Bits 6:4 RANGE[2:0]: speed", 2)]
+    pages = [block("text", text("Table 3. TIM", n, "_CTL register")), block("text", "Offset: 0x10"), block("table", grid=F.array(head, row("31:16", "A: a", "RW", "0")), tid="t"), block("table", page=1, grid=F.array(head, row("31:16", "A: a", "RW", "0"), row("15:0", "B: b", "RW", "0")), tid="u")]
+    printed = [named("AUX: ONE", n, "_R Register"), block("text", text("Address: ", X.to_hex(F.lit(0x40000000) + p * 16, 8))), block("text", "Offset: 0x04"), block("table", grid=F.array(row("Bits", "Name", "Description", "Type", "Reset"), row("31:0", "", "", "RW", "0x5")), tid="t")]
+    goes_on = [named("P: ONE", n, "X Register"), block("text", "Offset: 0x0"), block("table", grid=F.array(head, row("31:8", "A: a", "RW", "0")), tid="t"), named("P: TWO", n, "X Register"), block("text", "Offset: 0x4"), block("table", page=1, grid=F.array(head, row("11:8", "CLK_A: restart the", "SC", "0"), row("7:4", "divider. CLK_B : Write 1", "SC", "0"))), block("table", grid=F.array(head, row("31:0", "C: c", "RW", "0")), tid="v")]
+    begins, ends = block("heading", F.when(p % 5 == 1, text("Clocks (RCC", n, ")")).otherwise("Block"), level=1, sec=n), block("heading", "End", level=1, sec=text(n, "0"))
+    ways = [F.array(begins, *own, ends) for own in (family, paragraphs, pages, printed, goes_on)]
+    chosen = F.when(p % 5 == 0, ways[0]).when(p % 5 == 1, ways[1]).when(p % 5 == 2, ways[2]).when(p % 5 == 3, ways[3]).otherwise(ways[4])
+    rows = part.select(F.concat(F.lit("lay"), F.floor(p / 50).cast("string")).alias("doc_id"), "p_partkey", F.posexplode(chosen).alias("o", "b"))
+    return rows.select("doc_id", (p * 100 + F.col("o")).cast("bigint").alias("block_ix"), "b.*", F.lit(False).alias("spans"), F.lit(None).cast("array<struct<r:int,c:int,rs:int,cs:int,text:string,hdr:boolean>>").alias("cells"))
+
+
+def set_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line blocks of twenty documents each as one document."""
+    df, k = line_blocks(spark, sf_dir), F.col("doc_id").cast("bigint")
+    return df.withColumns({"doc_id": F.concat(F.lit("set"), F.floor(k / 20).cast("string")), "block_ix": k * 1_000_000 + F.col("block_ix")})
+
+
 def page_texts(blocks: DataFrame) -> DataFrame:
     """The page text of a block stream, with every tenth page's numbers spoilt."""
     body = F.when(F.col("kind") == "table", F.array_join(F.transform("grid", lambda r: F.array_join(r, " ")), "\n")).otherwise(F.col("text"))
@@ -82,4 +120,4 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as graded results."""
     df = table(spark, sf_dir, "events")
     e = F.col("event_id")
-    return df.select(e.cast("string").alias("id"), F.col("event_type").alias("category"), F.when(e % 2 == 0, "indexed").otherwise("baseline").alias("mode"), (e % 3 != 0).cast("int").alias("correct"), (e % 5 != 0).cast("int").alias("cited"), F.round("value", 4).alias("cost_usd"), (F.col("user_id") * 13 % 1000).cast("bigint").alias("tokens_total"), (e % 9).cast("int").alias("turns"), (e % 17).cast("double").alias("wall_s"), F.when(e % 11 == 0, "Read").otherwise("").alias("denied"))
+    return df.select(e.cast("string").alias("id"), F.col("event_type").alias("category"), F.when(e % 2 == 0, "indexed").otherwise("baseline").alias("mode"), (e % 3 != 0).cast("int").alias("correct"), (e % 5 != 0).cast("int").alias("cited"), F.round("value", 4).alias("cost_usd"), (F.col("user_id") * 13 % 1000).cast("bigint").alias("tokens_total"), (e % 9).cast("int").alias("turns"), (F.col("user_id") % 311).cast("bigint").alias("tokens_input_uncached"), (e % 53).cast("bigint").alias("tokens_output"), (e % 17).cast("double").alias("wall_s"), F.when(e % 11 == 0, "Read").otherwise("").alias("denied"))

@@ -7,32 +7,61 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators import hierarchy, search
+from docloom.sources import readers
 
 
-def section_markdown(blocks: DataFrame, path: str) -> None:
-    """One folder for each document and part; a part's lines are sorted in their task, never gathered."""
-    lines = hierarchy.markdown_lines(blocks).repartition("doc_id", "part_ix").sortWithinPartitions("doc_id", "part_ix", "block_ix")
-    lines.select("doc_id", "part_ix", F.col("md").alias("value")).write.mode("overwrite").partitionBy("doc_id", "part_ix").text(path)
+def _files(lines: DataFrame, path: str) -> None:
+    """doc_id, file, ix, md: a folder for each document and in it one for each file, whose lines one task sorts and writes."""
+    own = lines.repartition("doc_id", "file").sortWithinPartitions("doc_id", "file", "ix")
+    own.select("doc_id", "file", F.col("md").alias("value")).write.mode("overwrite").partitionBy("doc_id", "file").text(path)
 
 
-def index(headings: DataFrame, path: str, depth: int = 2) -> None:
-    label = F.when(F.col("sec") != "", F.concat(F.lit("§"), F.col("sec"), F.lit(" "), F.col("title"))).otherwise(F.col("title"))
-    own = hierarchy.index_headings(headings, depth).repartition("doc_id").sortWithinPartitions("doc_id", "block_ix")
-    own.select("doc_id", F.concat(F.lit("- "), label, F.lit("  p."), F.col("page").cast("string")).alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+def section_markdown(parts: DataFrame, path: str, source: str = "") -> None:
+    """Files named by part (split_parts), with the lines that every file begins with; chunks and headings cite their lines."""
+    names = parts.groupBy("doc_id", "part_ix").agg(F.first(hierarchy.file_name(parts)).alias("file"))
+    front = hierarchy.front_lines(parts, F.lit(source)).withColumn("ix", F.lit(-1).cast("bigint"))
+    body = hierarchy.markdown_lines(parts).withColumnRenamed("block_ix", "ix")
+    _files(front.unionByName(body).join(names, ["doc_id", "part_ix"]), path)
+
+
+def index(parts: DataFrame, headings: DataFrame, path: str, depth: int = 2) -> None:
+    """For each document a head, and for each part a line with its file, title and pages and the headings of the least levels."""
+    page = F.when(F.col("page") != 0, F.col("page"))
+    by_part = parts.groupBy("doc_id", "part_ix").agg(F.first(hierarchy.file_name(parts)).alias("file"), F.first("part_title").alias("title"), F.min_by(F.when(F.col("kind") == "heading", F.col("sec")), "block_ix").alias("sec"), F.coalesce(F.min(page), F.lit(0)).alias("a"), F.coalesce(F.max(page), F.lit(0)).alias("z"), F.min("block_ix").alias("first"))
+    label = lambda sec, title: F.when(F.coalesce(sec, F.lit("")) != "", F.concat(F.lit("§"), sec, F.lit(" "), title)).otherwise(title)
+    span = F.concat(F.lit("  p."), F.col("a").cast("string"), F.lit("-"), F.col("z").cast("string"))
+    heads = by_part.select("doc_id", (F.col("first") * 2).alias("ix"), F.concat(F.lit("## sections/"), "file", F.lit("  "), label(F.col("sec"), F.col("title")), span).alias("md"))
+    top = parts.groupBy("doc_id").agg(F.countDistinct("part_ix").alias("n"), F.coalesce(F.max("page"), F.lit(0)).alias("pages")).select("doc_id", F.lit(-1).cast("bigint").alias("ix"), F.concat(F.lit("# "), "doc_id", F.lit(" — INDEX\n"), F.col("pages").cast("string"), F.lit(" pages · "), F.col("n").cast("string"), F.lit(" section files\n")).alias("md"))
+    inside = hierarchy.index_headings(headings, depth).join(by_part.select("doc_id", "file", "first"), ["doc_id", "file"]).where("block_ix <> first")  # a part's own heading stands in its line
+    lines = inside.select("doc_id", (F.col("block_ix") * 2 + 1).alias("ix"), F.concat(F.lit("- "), label(F.col("sec"), F.col("title")), F.lit("  p."), F.col("page").cast("string")).alias("md"))
+    _files(top.unionByName(heads).unionByName(lines).withColumn("file", F.lit("INDEX.md")), path)
 
 
 def tables(blocks: DataFrame, path: str) -> None:
-    """index (TSV), rows (JSON, a row for each grid row) and cells (JSON) of tables."""
+    """index (TSV), grids (CSV, a file for each table), rows (JSON, a row for each grid row) and cells (JSON) of tables."""
     own = blocks.where("kind = 'table'")
-    hierarchy.table_ids(blocks).write.mode("overwrite").csv(f"{path}/index", sep="\t", header=True)
+    sections = hierarchy.section_path(blocks, "s2").select("doc_id", "block_ix", "section")
+    listed = hierarchy.table_ids(blocks).join(sections, ["doc_id", "block_ix"]).select("doc_id", F.col("tid").alias("id"), "page", "section", F.col("n_rows").alias("rows"), F.col("n_cols").alias("cols"), F.col("spans").cast("int").alias("spans"), "caption")
+    listed.write.mode("overwrite").csv(f"{path}/index", sep="\t", header=True)
+    cell = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    grid = own.select("doc_id", F.concat("table_id", F.lit(".csv")).alias("file"), F.posexplode("grid").alias("ix", "cells"))
+    _files(grid.select("doc_id", "file", "ix", F.array_join(F.transform("cells", cell), ",").alias("md")), f"{path}/grids")
     own.select("doc_id", "table_id", F.posexplode("grid").alias("row", "cells")).write.mode("overwrite").json(f"{path}/rows")
     own.where("cells IS NOT NULL").select("doc_id", "table_id", F.inline("cells")).write.mode("overwrite").json(f"{path}/cells")
 
 
-def figures(blocks: DataFrame, path: str) -> None:
-    labels = F.substring(X.one_line(F.coalesce(F.try_element_at(F.flatten("grid"), F.lit(1)), F.lit(""))), 1, 300)
+def figures(blocks: DataFrame, path: str, files: DataFrame | None = None) -> None:
+    """For each document the pictures as tab-parted lines under a head. files: doc_id, table_id of pictures with an image."""
+    labels = F.substring(F.coalesce(F.try_element_at(F.flatten("grid"), F.lit(1)), F.lit("")), 1, 300)
     own = hierarchy.section_path(blocks, "s2").where("kind = 'picture'")
-    own.select("doc_id", F.col("table_id").alias("fid"), "page", "section", X.one_line(F.col("title")).alias("caption"), labels.alias("labels")).write.mode("overwrite").csv(path, sep="\t", header=True)
+    image = F.lit("")
+    if files is not None:
+        own = own.join(files.select("doc_id", "table_id", F.lit(True).alias("__has")), ["doc_id", "table_id"], "left")
+        image = F.when(F.col("__has"), F.concat(F.lit("figures/"), "table_id", F.lit(".png"))).otherwise("")
+    cells = [X.one_line(c) for c in (F.col("table_id"), F.col("page").cast("string"), F.col("section"), image, F.col("title"), labels)]
+    lines = own.select("doc_id", F.lit("index.tsv").alias("file"), F.col("block_ix").alias("ix"), F.concat_ws("\t", *cells).alias("md"))
+    heads = own.select("doc_id").distinct().select("doc_id", F.lit("index.tsv").alias("file"), F.lit(-1).cast("bigint").alias("ix"), F.lit(readers.FIGURE_HEAD).alias("md"))
+    _files(heads.unionByName(lines), path)
 
 
 def records(df: DataFrame, path: str) -> None:
@@ -44,15 +73,20 @@ def documents(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
-def postings(chunks: DataFrame, path: str, files: int = 16) -> None:
-    """The inverted index, sorted by token so that a lookup reads few row groups."""
-    search.postings(chunks).repartitionByRange(files, "token").sortWithinPartitions("token", "doc_id", "rowid").write.mode("overwrite").parquet(path)
+def manifest(entries: DataFrame, path: str) -> None:
+    """Catalog entries as JSON, one for each document, in files that readers.catalog reads."""
+    entries.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+
+
+def search_index(chunks: DataFrame, path: str, files: int = 16) -> None:
+    """The inverted index (search.Index reads it): postings sorted by token, statistics of documents, and chunks by key."""
+    search.write_index(chunks, path, files)
 
 
 def whole_document(blocks: DataFrame, path: str) -> None:
     """Each document as one markdown text."""
-    own = hierarchy.markdown_lines(blocks.withColumn("part_ix", F.lit(0))).repartition("doc_id").sortWithinPartitions("doc_id", "block_ix")
-    own.select("doc_id", F.col("md").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+    lines = hierarchy.markdown_lines(blocks.withColumn("part_ix", F.lit(0)))
+    _files(lines.select("doc_id", F.lit("document.md").alias("file"), F.col("block_ix").alias("ix"), "md"), path)
 
 
 def results_csv(df: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 import json
 import math
 import sqlite3
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def test_query_phrases():
 
 
 @pytest.mark.parametrize("query", ["the", "that the", "of_the", "worth*", "of_th*", "für"])
-def test_same_scores_as_a_full_text_index(spark, sf, query):
+def test_same_scores_as_a_full_text_index(spark, sf, query, tmp_path):
     rows = adapters.table(spark, sf, "documents").select("doc_id", "text").collect()
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE c USING fts5(text, tokenize='unicode61 remove_diacritics 2')")
@@ -31,9 +32,36 @@ def test_same_scores_as_a_full_text_index(spark, sf, query):
     match = " ".join('"' + w.rstrip("*") + '"' + "*" * w.endswith("*") for w in query.split())
     want = dict(con.execute("SELECT rowid - 1, bm25(c) FROM c WHERE c MATCH ?", [match]).fetchall())
     df = adapters.table(spark, sf, "documents").select(F.lit("d").alias("doc_id"), F.col("doc_id").alias("rowid"), F.lit("text").alias("kind"), "text")
-    got = {r["rowid"]: r["bm25"] for r in search.score(df, query).collect()}
-    assert got.keys() == want.keys()
-    assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-9) for k in want)
+    search.write_index(df.withColumns({"section": F.lit(""), "file": F.lit(""), "line": F.lit(1), "page": F.lit(1), "tid": F.lit("")}), str(tmp_path), 3)
+    for hits in (search.score(df, query), search.Index(spark, str(tmp_path)).score(query)):
+        got = {r["rowid"]: r["bm25"] for r in hits.collect()}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-9) for k in want)
+
+
+def test_letters_as_a_full_text_index_folds_them(spark):
+    """Every small letter of the Latin blocks, precomposed and with marks after it."""
+    letters = [chr(c) for c in range(0x61, 0x1F00) if chr(c).isalpha() and chr(c) == chr(c).lower() and "LATIN" in unicodedata.name(chr(c), "")]
+    texts = [f"x{c}y" for c in letters] + [f"x{unicodedata.normalize('NFD', c)}y" for c in letters]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE c USING fts5(text, tokenize='unicode61 remove_diacritics 2')")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(c, instance)")
+    con.executemany("INSERT INTO c(rowid, text) VALUES (?, ?)", list(enumerate(texts)))
+    want = dict(con.execute("SELECT doc, term FROM v ORDER BY doc, offset DESC").fetchall())
+    got = {r["k"]: r["t"] for r in spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", search.tokens(F.col("text")).alias("t")).collect()}
+    wrong = [(texts[k], want[k], got[k]) for k in want if got[k] != [want[k]]]
+    assert len(wrong) <= 0.02 * len(texts), wrong[:20]
+    assert search.parse_query("Tiếng") == [search.Phrase(("tieng",))]
+
+
+def test_index_reads_the_query_s_tokens_only(spark, tmp_path):
+    c = chunks(spark, [("text", "1", f"word{k} clock") for k in range(50)])
+    search.write_index(c, str(tmp_path), 4)
+    plan = search.Index(spark, str(tmp_path)).score("word7 clo*")._jdf.queryExecution().toString()
+    assert "PushedFilters: [Or(StringStartsWith(token,clo),EqualTo(token,word7))]" in plan or "StringStartsWith(token,clo)" in plan.split("PushedFilters")[1]
+    shown = search.Index(spark, str(tmp_path))
+    hits = shown.shown(shown.search("clock", n=3), "clock", full=1).orderBy("place").collect()
+    assert [h["full"] is not None for h in hits] == [True, False, False] and hits[0]["snippet"] == hits[0]["text"]
 
 
 def test_kind_weights(spark):
