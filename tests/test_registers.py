@@ -36,6 +36,28 @@ def test_family_with_split_label(spark):
     assert [f["name"] for f in by["GPIO0_CTRL"]["fields"]] == ["Reserved", "FUNCSEL"]
 
 
+def test_family_with_a_lost_ellipsis(spark):
+    """A converter may write the replacement character for it."""
+    out = extract(spark, [heading("IO: GPIO0_CTRL, GPIO1_CTRL, \ufffd, GPIO5_CTRL Registers", 3), text("Offsets: 0x000, 0x008, \ufffd"), table([HEAD, ["0", "A: a", "RW", "0"]])])
+    assert [(r["name"], r["offset"]) for r in out] == [(f"GPIO{k}_CTRL", f"0x{8 * k:03x}") for k in range(6)]
+
+
+def test_documents_are_read_apart_and_in_order(spark):
+    """Many documents in one task, whose rows come in any order."""
+    rows = [heading("P: ONE Register", 3), text("Offset: 0x0"), table([HEAD, ["31:8", "A: a", "RW", "0"]]), heading("P: TWO Register", 3), text("Offset: 0x4"), table([HEAD, ["7:0", "B: b", "RW", "0"]]), table([HEAD, ["31:0", "C: c", "RW", "0"]])]
+    every = [blocks(spark, rows, f"d{k}") for k in range(5)]
+    df = every[0]
+    for other in every[1:]:
+        df = df.unionByName(other)
+    out = registers.extract(df.orderBy("kind", "doc_id").coalesce(1)).orderBy("doc_id", "block_ix").collect()
+    assert [(r["doc_id"], r["name"], [f["name"] for f in r["fields"]]) for r in out] == [(f"d{k}", n, f) for k in range(5) for n, f in (("ONE", ["A", "B"]), ("TWO", ["C"]))]
+
+
+def test_second_head_of_a_boundary_table(spark):
+    got = entries(spark, [table([["Address", "Name"], ["Boundary address", "Peripheral"], ["0x40000000", "TIM2"]])])
+    assert [(e["name"], e["base"]) for e in got] == [("TIM2", "0x40000000")]
+
+
 def test_table_over_two_pages(spark):
     out = extract(spark, [heading("DMA: CTRL Register", 3, page=5), text("Offset: 0x4", 5), table([HEAD, ["31:16", "A: a", "RW", "0"]], 5), table([HEAD, ["31:16", "A: a", "RW", "0"], ["15:0", "B: b", "RW", "0"]], 6)])
     assert [f["bits"] for f in out[0]["fields"]] == ["31:16", "15:0"] and out[0]["page_end"] == 6
@@ -71,8 +93,8 @@ def test_ordinary_captions_name_nothing(spark):
 
 
 def test_shifted_cells(spark):
-    out = extract(spark, [heading("P: ONE Register", 3), text("Offset: 0x0"), table([HEAD, ["11:8", "CLKDIV_RESTART: restart the", "SC", "0"], ["7:4", "divider. SM_RESTART : Write 1 to clear", "SC", "0"]])])
-    assert [(f["name"], f["desc"]) for f in out[0]["fields"]] == [("CLKDIV_RESTART", "restart the divider."), ("SM_RESTART", "Write 1 to clear")]
+    out = extract(spark, [heading("P: ONE Register", 3), text("Offset: 0x0"), table([HEAD, ["11:8", "TICK_RELOAD: reload the", "SC", "0"], ["7:4", "counter. RUN_ONCE : Set to run", "SC", "0"]])])
+    assert [(f["name"], f["desc"]) for f in out[0]["fields"]] == [("TICK_RELOAD", "reload the counter."), ("RUN_ONCE", "Set to run")]
 
 
 def entries(spark, rows):

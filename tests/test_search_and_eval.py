@@ -1,3 +1,4 @@
+import gzip
 import json
 import math
 import sqlite3
@@ -108,16 +109,40 @@ def test_build_and_commands(spark, tmp_path):
     assert lookup.figure(pack, "d").first()["labels"] == "a, b"
     pages = adapters.page_texts(b)
     assert lookup.check(pack, pages).first()["ok"] == 1
-    sinks.section_markdown(pack["blocks"].drop("part_name"), str(tmp_path / "md"))
+    sinks.section_markdown(pack["blocks"], str(tmp_path / "md"), "a.pdf")
     sinks.tables(b, str(tmp_path / "t"))
     sinks.figures(b, str(tmp_path / "f"))
     sinks.records(pack["registers"], str(tmp_path / "r"))
-    sinks.postings(pack["chunks"], str(tmp_path / "p"))
-    sinks.index(pack["headings"], str(tmp_path / "i"))
+    sinks.search_index(pack["chunks"], str(tmp_path / "p"))
+    sinks.index(pack["blocks"], pack["headings"], str(tmp_path / "i"))
     sinks.whole_document(b, str(tmp_path / "w"))
     assert readers.jsonl(spark, str(tmp_path / "r"), "doc_id string, name string").count() == 1
-    assert spark.read.text(str(tmp_path / "md")).where("value = '# 1 Clocks <!-- p.1 -->'").count() == 1
+    # every cited line stands where it is said to stand
+    files = {r["file"]: r["value"].split("\n") for r in spark.read.text(str(tmp_path / "md"), wholetext=True).collect()}
+    assert set(files) == {"00-1-clocks.md"} and files["00-1-clocks.md"][:7] == ["---", "doc: d", 'title: "Clocks"', "pages: 1-1", "source: a.pdf", "---", ""]
+    for h in pack["headings"].collect():
+        assert files[h["file"]][h["line"] - 1] == f"{'#' * h['level']} {(h['sec'] + ' ' + h['title']).strip()} <!-- p.1 -->"
+    r = lookup.reg(pack, "CTRL_A").first()
+    assert "CTRL_A Register" in files[r["file"]][r["line"] - 1]
+    assert spark.read.text(str(tmp_path / "i"), wholetext=True).first()["value"].split("\n")[0] == "# d — INDEX"
+    got = search.Index(spark, str(tmp_path / "p")).search("bye", n=2).first()
+    assert got["section"] == "2"
     assert lookup.with_errata(lookup.reg(pack, "CTRL_A"), pack["chunks"], "bye").first()["errata"] == ["bye"]
+    c = pack["counts"].first()
+    assert (c["registers"], c["registers_linked"], c["memmap"], c["figures"], c["sections"], c["toc_blocks_dropped"], c["levels"]) == (1, 1, 1, 1, 1, 0, "numbering")
+    lines = lookup.section_lines(pack["blocks"], pack["headings"], "d", "2", lines=2).orderBy("line").collect()
+    assert [x["text"] for x in lines] == ["# 2 End <!-- p.1 -->", ""] and lines[0]["more"] == 2
+    assert readers.figures_tsv(spark, str(tmp_path / "f")).first()["labels"] == "a, b"
+
+
+def test_captions_reach_figures_chunks_and_files(spark, tmp_path):
+    picture = {"kind": "picture", "table_id": "f0001", "grid": [["x"]]}
+    pack = lookup.build(blocks(spark, [heading("One", 1, "1"), picture, text("glued text. Figure 36. Clock tree"), heading("Contents", 2), text("1 a ........... 3")]))
+    assert lookup.figure(pack, "d").first()["title"] == "Figure 36. Clock tree"
+    assert "Figure 36. Clock tree\nx" in [r["text"] for r in pack["chunks"].collect()]
+    sinks.section_markdown(pack["blocks"], str(tmp_path))
+    assert "<!-- figure f0001 p.1: Figure 36. Clock tree | labels: x -->" in spark.read.text(str(tmp_path)).toPandas()["value"].tolist()
+    assert pack["counts"].first()["toc_blocks_dropped"] == 1
 
 
 def test_readers_of_missing_files(spark, tmp_path):
@@ -125,18 +150,71 @@ def test_readers_of_missing_files(spark, tmp_path):
     assert readers.results_csv(spark, str(tmp_path / "no")).count() == 0
 
 
+def ref(*names):
+    return [{"$ref": f"#/{n}"} for n in names]
+
+
+STORED = {
+    "schema_name": "DoclingDocument", "name": "m",
+    "body": {"self_ref": "#/body", "children": ref("texts/0", "groups/0", "tables/0", "pictures/3", "pictures/4", "texts/9", "groups/1", "texts/8", "texts/77")},
+    "texts": [
+        {"self_ref": "#/texts/0", "label": "section_header", "level": 2, "prov": [{"page_no": 4}], "text": " 1.1 PLL _SYS ", "children": ref("texts/5")}, {"self_ref": "#/texts/1", "label": "text", "prov": [{"page_no": 5}], "text": "in group"},
+        {"self_ref": "#/texts/2", "label": "caption", "text": "Table caption"}, {"self_ref": "#/texts/9", "label": "text", "content_layer": "furniture", "text": "footer"}, {"self_ref": "#/texts/5", "label": "text", "text": "under a heading"},
+        {"self_ref": "#/texts/6", "label": "list_item", "text": "one", "prov": [{"page_no": 9}]}, {"self_ref": "#/texts/7", "label": "list_item", "text": "two", "enumerated": True, "marker": "2."}, {"self_ref": "#/texts/8", "label": "code", "text": "x = 1"},
+        {"self_ref": "#/texts/10", "label": "text", "text": "in picture"}, {"self_ref": "#/texts/11", "label": "text", "text": "in  picture"}, {"self_ref": "#/texts/12", "label": "caption", "text": "Shown"},
+    ],
+    "groups": [{"self_ref": "#/groups/0", "label": "section", "children": ref("texts/1")}, {"self_ref": "#/groups/1", "label": "list", "children": ref("texts/6", "texts/7")}],
+    "tables": [{"self_ref": "#/tables/0", "label": "table", "captions": ref("texts/2"), "data": {"grid": [[{"text": "a"}, {"text": "b\nc"}], [{"text": "1"}, {"text": "2"}]], "table_cells": [{"start_row_offset_idx": 1, "start_col_offset_idx": 0, "row_span": 1, "col_span": 1, "text": "1"}, {"start_row_offset_idx": 0, "start_col_offset_idx": 0, "row_span": 1, "col_span": 2, "text": "a", "column_header": True}]}}],
+    "pictures": [{"self_ref": "#/pictures/3", "label": "picture", "prov": [{"page_no": 6, "bbox": {"l": 0, "r": 10, "t": 0, "b": 10}}]}, {"self_ref": "#/pictures/4", "label": "picture", "prov": [{"page_no": 7, "bbox": {"l": 0, "r": 100, "t": 100, "b": 0}}], "captions": ref("texts/12"), "children": ref("texts/12", "texts/10", "texts/11")}],
+}
+
+
 def test_document_tree(spark):
-    doc = {
-        "body": ["#/texts/0", "#/groups/0", "#/tables/0", "#/pictures/3", "#/pictures/4", "#/texts/9"],
-        "texts": [{"ref": "#/texts/0", "label": "section_header", "level": 2, "page": 4, "text": "1.1 PLL _SYS"}, {"ref": "#/texts/1", "label": "text", "page": 5, "text": "in group"}, {"ref": "#/texts/2", "label": "caption", "text": "Table caption"}, {"ref": "#/texts/9", "label": "text", "layer": "furniture", "text": "footer"}],
-        "groups": [{"ref": "#/groups/0", "label": "group", "children": ["#/texts/1"]}],
-        "tables": [{"ref": "#/tables/0", "label": "table", "captions": ["#/texts/2"], "grid": [["a", "b"]], "cells": [{"r": 0, "c": 0, "cs": 2, "text": "a"}]}],
-        "pictures": [{"ref": "#/pictures/3", "label": "picture", "box": [0, 0, 10, 10]}, {"ref": "#/pictures/4", "label": "picture", "box": [0, 0, 100, 100], "page": 7}],
-    }
-    df = spark.createDataFrame([("d", json.dumps(doc))], "doc_id string, json string")
+    df = spark.createDataFrame([("d", json.dumps(STORED)), ("e", "{}")], "doc_id string, json string")
     out = readers.blocks(df).orderBy("block_ix").collect()
-    assert [(r["kind"], r["page"], r["sec"], r["title"], r["table_id"]) for r in out] == [("heading", 4, "1.1", "PLL_SYS", None), ("text", 5, "", "", None), ("table", 5, "", "Table caption", "t0001"), ("picture", 7, "", "", "f0004")]
-    assert out[2]["cells"][0]["cs"] == 2
+    assert [(r["block_ix"], r["kind"], r["page"], r["sec"], r["title"], r["table_id"], r["text"]) for r in out] == [
+        (0, "heading", 4, "1.1", "PLL_SYS", None, "1.1 PLL_SYS"), (1, "text", 4, "", "", None, "under a heading"), (2, "text", 5, "", "", None, "in group"),
+        (3, "table", 5, "", "Table caption", "t0001", "| a | b c |\n|---|---|\n| 1 | 2 |"), (4, "picture", 7, "", "Shown", "f0004", ""), (5, "list", 9, "", "", None, "- one\n2. two"), (6, "code", 9, "", "", None, "```\nx = 1\n```"),
+    ]
+    assert [(c["r"], c["cs"], c["hdr"]) for c in out[3]["cells"]] == [(0, 2, True), (1, 1, False)] and out[4]["grid"] == [["in picture"]]
+
+
+def test_stored_documents_and_catalog(spark, tmp_path):
+    """Each document in a folder of its own; gzip wins; a manifest of entries, and entries one by one."""
+    for name in ("rm1", "rm2"):
+        (tmp_path / "root" / name).mkdir(parents=True)
+        with gzip.open(tmp_path / "root" / name / "docling.json.gz", "wt") as f:
+            json.dump({**STORED, "name": name}, f)
+    (tmp_path / "root" / "rm2" / "docling.json").write_text("{}")
+    (tmp_path / "root" / "single.json").write_text("{}")
+    got = {r["doc_id"]: json.loads(r["json"]) for r in readers.documents(spark, str(tmp_path / "root" / "*" / "docling.json*")).collect()}
+    assert {k: v.get("name") for k, v in got.items()} == {"rm1": "rm1", "rm2": "rm2"}
+    assert [r["doc_id"] for r in readers.documents(spark, str(tmp_path / "root" / "single.json")).collect()] == ["single"]
+    entry = {"id": "rm1", "title": "T", "pages": 3, "low_pages": [2], "counts": {"registers": 2, "levels": "numbering"}, "unknown": 1}
+    (tmp_path / "manifest.json").write_text(json.dumps({"version": 1, "docs": {"rm1": entry, "rm2": {"id": "rm2"}}}, indent=1))
+    docs = readers.catalog(spark, str(tmp_path / "manifest.json"))
+    lines = [r["line"] for r in lookup.status(docs).collect()]
+    assert lines[0] == 'rm1 [manual]: "T" 3p, 0 section files, 0 headings, 0 tables, 2 registers, 0 base addresses; confidence mean=? low=? low_pages=1;'
+    assert lines[1].startswith('rm2 [manual]: "" 0p,') and readers.catalog(spark, str(tmp_path / "no")).count() == 0
+    pages = spark.createDataFrame([("rm1", 4, "x")], "doc_id string, page int, text string")
+    stored = readers.documents(spark, str(tmp_path / "root" / "*" / "docling.json.gz"))
+    pack = lookup.rebuild(docs, stored, pages, "rm2")
+    new = pack["docs"].collect()
+    assert len(new) == 1 and new[0]["title"] == "PLL_SYS" and new[0]["counts"]["tables"] == "1" and new[0]["verify"]["ok"] == 0 and pack["mismatches"].count() == 0
+    sinks.manifest(docs, str(tmp_path / "entries"))
+    assert readers.catalog(spark, str(tmp_path / "entries"), lines=True).orderBy("id").collect() == docs.orderBy("id").collect()
+
+
+def test_small_readers(spark, tmp_path):
+    (tmp_path / "f.tsv").write_text(readers.FIGURE_HEAD + "\nf1\t3\t1.2\n\nf2\t4\ta\tb\tc\td\te\n")
+    assert [tuple(r) for r in readers.figures_tsv(spark, str(tmp_path / "f.tsv")).collect()] == [("f1", "3", "1.2", "", "", ""), ("f2", "4", "a", "b", "c", "d")]
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    r = readers.content_hashes(spark, str(tmp_path / "a.bin")).first()
+    assert (r["length"], r["sha256"][:8]) == (3, "ba7816bf")
+    (tmp_path / "q.tsv").write_text('id\tcategory\tquestion\tmust\n1\tc\tsay "x"\t0x1|a\n')
+    assert readers.questions_tsv(spark, str(tmp_path / "q.tsv")).first()["question"] == 'say "x"'
+    (tmp_path / "o.json").write_text('{"a":\n "b"}')
+    assert readers.json_document(spark, str(tmp_path / "o.json"), "a string").first()["a"] == "b"
 
 
 @pytest.mark.parametrize(("must", "answer", "mode", "correct", "cited"), [
@@ -162,8 +240,8 @@ def test_hints_and_guard(spark):
 
 
 def test_announce(spark):
-    docs = spark.createDataFrame([("b", "errata", 3), ("a", "manual", 9)], "id string, kind string, pages int")
-    assert hints.announce(docs).first()[0] == "documents: a (manual, 9 pages); b (errata, 3 pages)"
+    docs = spark.createDataFrame([("a", "errata", "T", 3, {"registers": "7", "figures": "2"}), ("b", None, None, None, None)], "id string, kind string, title string, pages int, counts map<string,string>")
+    assert [r["line"] for r in hints.announce(docs).orderBy("id").collect()] == ['a [errata]: "T" 3p, 7 registers, 0 tables, 2 figures', 'b [manual]: "" 0p, 0 registers, 0 tables']
     assert hints.announce(docs.limit(0)).count() == 0
 
 
