@@ -58,16 +58,32 @@ def _manifest(s, d):  # noqa: ANN001, ANN202
 def _stored(s, d):  # noqa: ANN001, ANN202
     """Converted documents as they are stored, made from pages' headings, paragraphs and list items."""
     p = readers.html_blocks(A.table(s, d, "pages"))
-    ref = lambda k: F.struct(F.concat(F.lit("#/texts/"), k.cast("string")).alias("$ref"))
-    prov = F.array(F.struct((1 + F.floor(F.col("block_ix") / 3)).cast("int").alias("page_no")))
-    item = F.struct(F.concat(F.lit("#/texts/"), F.col("block_ix").cast("string")).alias("self_ref"), F.when(F.col("kind") == "heading", "section_header").otherwise("text").alias("label"), F.when(F.col("block_ix") % 11 == 10, "furniture").otherwise("body").alias("content_layer"), F.greatest("level", F.lit(1)).alias("level"), prov.alias("prov"), F.col("text").alias("text"))
-    docs = p.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", item.alias("x")))), lambda t: t["x"]).alias("t"))
-    body = F.struct(F.transform("t", lambda t, k: ref(k)).alias("children"))
-    return docs.select("doc_id", F.to_json(F.struct(body.alias("body"), F.col("t").alias("texts"))).alias("json"))
+    ref = lambda to: F.struct(to.alias("$ref"))
+    prov = F.array(F.struct((1 + F.floor(F.col("block_ix") / 3)).cast("int").alias("page_no"), F.lit(None).cast("struct<l:double,r:double,t:double,b:double>").alias("bbox")))
+    none = F.array().cast("array<struct<`$ref`:string>>")
+
+    def item(to, label, layer, level, at, text, children=none, captions=none):  # noqa: ANN001, ANN202
+        return F.struct(to.alias("self_ref"), label.alias("label"), layer.alias("content_layer"), level.alias("level"), at.alias("prov"), text.alias("text"), children.alias("children"), captions.alias("captions"))
+
+    read = item(F.concat(F.lit("#/texts/"), F.col("block_ix").cast("string")), F.when(F.col("kind") == "heading", "section_header").otherwise("text"), F.when(F.col("block_ix") % 11 == 10, "furniture").otherwise("body"), F.greatest("level", F.lit(1)), prov, F.col("text"))
+    docs = p.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", read.alias("x")))), lambda t: t["x"]).alias("t"))
+    # after the texts a list, a table with a caption and a wide cell, an icon, and a drawing with a caption and labels
+    lit, nowhere = F.lit, F.lit(None).cast(prov_type := "array<struct<page_no:int,bbox:struct<l:double,r:double,t:double,b:double>>>")
+    on = lambda page, size: F.array(F.struct(lit(page).alias("page_no"), F.struct(*[lit(float(x)).alias(k) for k, x in zip("lrtb", (0, size, size, 0), strict=True)]).alias("bbox"))).cast(prov_type)
+    more = [("a", "list_item", F.concat(lit("one of "), "doc_id")), ("b", "list_item", lit("two")), ("c", "caption", F.concat(lit("Sizes of "), "doc_id")), ("d", "caption", lit("Shown here")), ("e", "text", lit("CLK  in")), ("f", "text", lit("CLK in"))]
+    extra = F.array(*[item(lit(f"#/texts/{k}"), lit(label), lit("body"), lit(1), nowhere, text) for k, label, text in more])
+    cell = lambda r, c, cs, text: F.struct(lit(r).alias("start_row_offset_idx"), lit(c).alias("start_col_offset_idx"), lit(1).alias("row_span"), lit(cs).alias("col_span"), text.alias("text"))
+    wide, left, right = cell(0, 0, 2, lit("PLL _SYS")), cell(1, 0, 1, F.col("doc_id")), cell(1, 1, 1, lit("x"))
+    table = F.struct(lit("#/tables/0").alias("self_ref"), lit("table").alias("label"), on(50, 9).alias("prov"), F.array(ref(lit("#/texts/c"))).alias("captions"), F.struct(F.array(F.array(wide, wide), F.array(left, right)).alias("grid"), F.array(right, left, wide).alias("table_cells")).alias("data"))
+    pictures = F.array(item(lit("#/pictures/0"), lit("picture"), lit("body"), lit(1), on(51, 20), lit("")), item(lit("#/pictures/1"), lit("picture"), lit("body"), lit(1), on(52, 200), lit(""), F.array(*[ref(lit(f"#/texts/{k}")) for k in "def"]), F.array(ref(lit("#/texts/d")))))
+    groups = F.array(item(lit("#/groups/0"), lit("list"), lit("body"), lit(1), nowhere, lit(""), F.array(ref(lit("#/texts/a")), ref(lit("#/texts/b")))))
+    last = [ref(lit(x)) for x in ("#/groups/0", "#/texts/c", "#/tables/0", "#/pictures/0", "#/pictures/1")]
+    body = F.struct(F.concat(F.transform("t", lambda t: ref(t["self_ref"])), F.array(*last)).alias("children"))
+    return docs.select("doc_id", F.to_json(F.struct(body.alias("body"), F.concat("t", extra).alias("texts"), F.array(table).alias("tables"), pictures.alias("pictures"), groups.alias("groups"))).alias("json"))
 
 
 def _tree(s, d):  # noqa: ANN001, ANN202
-    return readers.blocks(_stored(s, d)).select("doc_id", "block_ix", "kind", "page", "level", F.length("text").alias("n_chars"))
+    return readers.blocks(_stored(s, d)).select("doc_id", "block_ix", "kind", "page", "level", F.length("text").alias("n_chars"), F.when(F.col("kind") != "heading", F.col("title")).alias("caption"), "table_id", F.size("cells").alias("n_cells"), F.when(F.col("kind") == "picture", F.col("grid")[0][0]).alias("labels"))
 
 
 def _entries(s, d):  # noqa: ANN001, ANN202
@@ -160,5 +176,8 @@ list_sort(list(tokens_total))[count(*) // 2 + 1] AS tokens_median, round(avg(unc
 }
 ORACLES["eval_regrade"] = ORACLES["grade_answers"]
 _HTML = text_queries.ORACLES["html_blocks"]
-ORACLES["document_tree"] = f"""WITH h AS ({_HTML}), k AS (SELECT * FROM h WHERE block_ix % 11 <> 10 AND (kind = 'heading' OR text <> ''))
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_ix) - 1 AS block_ix, CASE WHEN kind = 'heading' THEN 'heading' ELSE 'text' END AS kind, CAST(1 + block_ix // 3 AS INT) AS page, CAST(CASE WHEN kind = 'heading' THEN level ELSE 0 END AS INT) AS level, CAST(length(text) AS INT) AS n_chars FROM k"""
+ORACLES["document_tree"] = f"""WITH h AS ({_HTML}), k AS (SELECT * FROM h WHERE block_ix % 11 <> 10 AND (kind = 'heading' OR text <> '')), n AS (SELECT h.doc_id, count(k.block_ix) AS n, coalesce(max(1 + k.block_ix // 3), 0) AS last FROM (SELECT DISTINCT doc_id FROM h) h LEFT JOIN k ON k.doc_id = h.doc_id GROUP BY h.doc_id)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_ix) - 1 AS block_ix, CASE WHEN kind = 'heading' THEN 'heading' ELSE 'text' END AS kind, CAST(1 + block_ix // 3 AS INT) AS page, CAST(CASE WHEN kind = 'heading' THEN level ELSE 0 END AS INT) AS level, CAST(length(text) AS INT) AS n_chars, CASE WHEN kind <> 'heading' THEN '' END AS caption, CAST(NULL AS VARCHAR) AS table_id, CAST(NULL AS INT) AS n_cells, CAST(NULL AS VARCHAR) AS labels FROM k
+UNION ALL SELECT doc_id, n, 'list', CAST(last AS INT), 0, CAST(length('- one of ' || doc_id) + 6 AS INT), '', NULL, NULL, NULL FROM n
+UNION ALL SELECT doc_id, n + 1, 'table', 50, 0, CAST(length('| PLL_SYS | PLL_SYS |') + 11 + length('| ' || doc_id || ' | x |') AS INT), 'Sizes of ' || doc_id, 't0001', 3, NULL FROM n
+UNION ALL SELECT doc_id, n + 2, 'picture', 52, 0, 0, 'Shown here', 'f0001', NULL, 'CLK in' FROM n"""

@@ -118,3 +118,12 @@ ORACLES["split_parts"] = f"WITH RECURSIVE {_JOINED} SELECT b.doc_id, part_name,
 _SETS = BLOCKS.replace("SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(", "SELECT doc_id AS d, unnest(", 1).replace("b AS (SELECT doc_id, block_ix,", "b AS (SELECT 'set' || (d // 20) AS doc_id, d * 1000000 + block_ix AS block_ix,")
 QUERIES["split_parts_sets"] = lambda s, d: H.split_parts(A.set_blocks(s, d)).groupBy("doc_id", "part_name").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("text") + 2).alias("size"))
 ORACLES["split_parts_sets"] = ORACLES["split_parts"].replace(BLOCKS, _SETS)
+
+
+def _table_records(s, d):  # noqa: ANN001, ANN202
+    """Search records of tables, with their text."""
+    records = H.chunks(H.line_numbers(H.parts_by_top_level(A.register_blocks(s, d))))
+    return records.where("kind = 'table'").select("doc_id", "tid", "section", "text")
+
+
+QUERIES["table_records"] = _table_records

@@ -181,3 +181,4 @@ SELECT doc_id, name, peripheral, "offset", reset, address, section, page, page_e
 ORACLES["verify_mismatches"] = f"WITH {_PAGES} SELECT doc_id, 'register' AS what, name, page, array_to_string(mi[1:6], ',') AS missing FROM vr WHERE verify = 'mismatch' UNION ALL SELECT doc_id, 'memmap', name, page, 'base' FROM vm WHERE verify = 'mismatch'"
 ORACLES["reg_format_linked"] = f"""WITH {_REG} SELECT doc_id, rid, name || ' [' || doc_id || ' §' || section || ' p.' || page || ' sections/01-x.md:' || (page + 7) || '] offset ' || "offset" || ' reset ' || reset || ' @ ' || CASE WHEN page % 2 = 0 THEN 'A ' || printf('0x%08x', 1073741824 + 4 * (p % 1024)) || ', B ' || printf('0x%08x', 1342177280 + 4 * (p % 1024)) ELSE address END || ': [31:16] SIZE, [15:0] KEY' AS line FROM r"""
 ORACLES["reg_fields_shown"] = f"""WITH {_REG} SELECT doc_id, name, CAST(k AS INT) AS k, CASE k WHEN 0 THEN '   31:16  ' || rpad('SIZE', 18, ' ') || ' RW reset=' || printf('0x%x', p_size) || '  Size of part ' || p ELSE '    15:0  ' || rpad('KEY', 18, ' ') || ' RO reset=-  key ' || p END AS line FROM (SELECT * EXCLUDE (k) FROM r), (SELECT unnest([0, 1]) AS k)"""
+ORACLES["table_records"] = f"WITH {_REG} SELECT doc_id, 't' || p AS tid, section, 'Bits | Name | Description | Type | Reset' || chr(10) || '31:16 | SIZE | Size  of part ' || p || ' | RW | ' || printf('0x%x', p_size) || chr(10) || '15:0 | KEY: key ' || p || ' | RO | -' AS text FROM r"
