@@ -4,8 +4,8 @@ probabilities are calibrated by a temperature.
 Random indexing: each token bucket has a fixed sparse ternary index vector; a bucket's word vector is the sum of the
 index vectors of the tokens within two places of it, over all documents. Each task sums its own partition's vectors as
 whole numbers (so the order of adding can't matter) and sends them on once; the summing tasks stream over what arrives.
-There are TASKS_A_CORE counting tasks for each core at most, whatever the number of splits, so what they send is bounded by
-the cluster's size and not by the input's.
+Where there are more splits than TASKS_A_CORE for each core, a counting task reads up to SPLITS_A_TASK of them before it
+sends its sums: 2 MB for every 512 MB read.
 The vectors are BUCKETS x DIMS whatever the corpus's size, so they are broadcast. A document is the mean of its tokens'
 unit vectors. The network is fitted on the driver on MOST_ROWS labelled rows at most, those first by a hash of their id;
 one in five of them sets the temperature.
@@ -36,7 +36,7 @@ BUCKETS, DIMS, NONZERO, REACH = 1 << 13, 32, 4, 2
 MOST_ROWS = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 0.01, 1e-4
 CHUNK = 64  # buckets that travel in one row
-TASKS_A_CORE = 4
+TASKS_A_CORE, SPLITS_A_TASK = 16, 4
 
 
 class Tokens(dict):
@@ -112,8 +112,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 sums[k] = sums[k] + part if k in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "sums"])
 
-    most = TASKS_A_CORE * max(1, spark.sparkContext.defaultParallelism)
-    rows = docs.select("text").coalesce(most).mapInArrow(count, "chunk int, sums binary").repartition("chunk").mapInArrow(add, "chunk int, sums binary").collect()  # BUCKETS / CHUNK rows
+    texts = docs.select("text")
+    most = max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, -(-texts.rdd.getNumPartitions() // SPLITS_A_TASK))
+    rows = texts.coalesce(most).mapInArrow(count, "chunk int, sums binary").repartition("chunk").mapInArrow(add, "chunk int, sums binary").collect()  # BUCKETS / CHUNK rows
     total = np.zeros((BUCKETS, DIMS), np.int64)
     for r in rows:
         total[r["chunk"] : r["chunk"] + CHUNK] = np.frombuffer(r["sums"], np.int64).reshape(-1, DIMS)
