@@ -293,11 +293,11 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """kind, canon of everything that needs a surrogate, with the document's __a and __b."""
-    some = entities(docs).select("__a", "__b", F.explode_outer(F.filter("__found", lambda x: x["kind"].isNotNull())).alias("x")).where("x.kind IS NOT NULL")
-    one = some.select("__a", "__b", "x.*").distinct()
-    plain = one.where("kind <> 'name'")
-    word = one.where("kind = 'name'").select("__a", "__b", "kind", F.explode_outer(F.filter(_runs(F.col("found")), _is_name_word)).alias("found")).where("found IS NOT NULL")
-    return plain.unionByName(word).select("__a", "__b", "kind", canonical(F.col("kind"), F.col("found")).alias("canon")).distinct()
+    one = lambda kind, found: F.struct(kind.alias("kind"), canonical(kind, found).alias("canon"))
+    words = lambda x: F.transform(F.filter(_runs(x["found"]), _is_name_word), lambda r: one(F.lit("name"), r))
+    each = F.transform(F.filter("__found", lambda x: x["kind"].isNotNull()), lambda x: F.when(x["kind"] == "name", words(x)).otherwise(F.array(one(x["kind"], x["found"]))))
+    listed = entities(docs).select("__a", "__b", F.array_distinct(F.flatten(each)).alias("__each"))
+    return listed.select("__a", "__b", F.explode_outer("__each").alias("x")).where("x.kind IS NOT NULL").select("__a", "__b", "x.*").distinct()  # outer: else the optimiser repeats the whole expression in a filter of its own
 
 
 def redraws(keyed: DataFrame, key: str) -> DataFrame | None:
