@@ -1,3 +1,5 @@
+import hashlib
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,3 +47,11 @@ def test_long_conversation(spark):
     df = spark.range(30_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "'t' AS text")
     r = chat.digest(df).collect()
     assert len(r) == 1 and r[0]["n_turns"] == 30_000 and r[0]["valid"] and r[0]["loss_chars"] == 15_000
+
+
+def test_one_very_long_text(spark):
+    text = "</s>[INST] é \\ " * 150_000
+    df = spark.createDataFrame([(1, 0, "user", "hi", 0), (1, 1, "assistant", text, 0)], SCHEMA)
+    r = chat.digest(df).first()
+    assert r["n_turns"] == 2 and r["loss_chars"] == len(text) and r["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert r["turns_sha256"] == hashlib.sha256(f"user\nhi\nassistant\n{text}\n".encode()).hexdigest()
