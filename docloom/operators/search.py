@@ -117,7 +117,7 @@ def score(chunks: DataFrame, query: str) -> DataFrame:
 
 def postings(chunks: DataFrame, *others: str) -> DataFrame:
     """token, doc_id, rowid, positions and other columns: a row for each token of a chunk, made within the chunk's row."""
-    placed = F.array_sort(F.transform(tokens(F.col("text")), lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))
+    placed = F.sort_array(F.transform(tokens(F.col("text")), lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))
     df = chunks.select("doc_id", "rowid", *others, placed.alias("__p"))
     n = F.size("__p")
     starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (n > 0) & ((i == 1) | (F.get("__p", i - 1)["token"] != F.get("__p", i - 2)["token"])))
@@ -126,14 +126,16 @@ def postings(chunks: DataFrame, *others: str) -> DataFrame:
     return df.select("doc_id", "rowid", *others, F.explode(each).alias("__x")).select("__x.token", "doc_id", "rowid", "__x.positions", *others)
 
 
-def write_index(chunks: DataFrame, path: str, files: int = 16) -> None:
-    """Writes what Index reads. A token that many chunks hold is dealt over several files, as documents and rows part it too."""
+def write_index(chunks: DataFrame, path: str, files: int | None = None) -> None:
+    """Writes what Index reads. Postings are dealt by token and document, so a token that many chunks hold fills no file alone;
+    each file is sorted by token, so that of each a lookup reads the row groups of its tokens."""
     spark = chunks.sparkSession
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks.withColumn("__dl", F.size(tokens(F.col("text")))).write.mode("overwrite").parquet(f"{path}/chunks")
     held = spark.read.parquet(f"{path}/chunks")
     _statistics(held).write.mode("overwrite").parquet(f"{path}/documents")
     own = postings(held, "__dl", "kind", "section")
-    own.repartitionByRange(files, "token", "doc_id", "rowid").sortWithinPartitions("token", "doc_id", "rowid").write.mode("overwrite").parquet(f"{path}/postings")
+    own.repartition(files, "token", "doc_id").sortWithinPartitions("token", "doc_id", "rowid").write.mode("overwrite").parquet(f"{path}/postings")
 
 
 class Index:

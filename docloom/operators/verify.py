@@ -18,7 +18,9 @@ def span_text(rows: DataFrame, page_text: DataFrame) -> DataFrame:
     Many rows lie on the same pages: each span of pages is put together once.
     """
     last = F.least(F.greatest(F.coalesce("page_end", "page"), "page") + 1, F.col("page") + MOST_PAGES)
-    spanned = rows.withColumn("__last", last)
+    # a number of its own: checking a row costs far more than its bytes say, and small partitions would be merged by them
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spanned = rows.withColumn("__last", last).repartition(parts, "doc_id", "page", "__last")
     spans = spanned.where("coalesce(page, 0) > 0").select("doc_id", F.col("page").alias("__first"), "__last").distinct()
     pages = spans.withColumn("page", F.explode(F.sequence("__first", "__last")))
     texts = page_text.select("doc_id", "page", X.squeezed(F.col("text")).alias("t"))
@@ -32,13 +34,9 @@ def has(text: Column, value: Column) -> Column:
 
 def _after(text: Column, what: Column) -> Column:
     """What stands from each of the first MOST_SPOTS places on where `what` occurs, REACH characters of it."""
-
-    def step(s: Column, _: Column) -> Column:
-        at = F.call_function("locate", what, text, s["next"])
-        found = (s["next"] > 0) & (at > 0)
-        return F.when(found, F.struct((at + F.length(what)).alias("next"), F.concat(s["spots"], F.array(at)).alias("spots"))).otherwise(F.struct(F.lit(0).alias("next"), s["spots"].alias("spots")))
-
-    spots = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_SPOTS)), F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("spots")), step, lambda s: s["spots"])
+    between = F.split(text, F.concat(F.lit(r"\Q"), what, F.lit(r"\E")), MOST_SPOTS + 1)  # the last piece is all the rest
+    step = lambda s, p: F.struct((s["next"] + F.length(p) + F.length(what)).alias("next"), F.concat(s["spots"], F.array(s["next"] + F.length(p))).alias("spots"))
+    spots = F.aggregate(between, F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("spots")), step, lambda s: F.slice(s["spots"], 1, F.size(s["spots"]) - 1))
     return F.transform(spots, lambda p: F.substr(text, p, F.lit(REACH)))
 
 
@@ -56,7 +54,9 @@ def missing(text: Column) -> Column:
         name, reset = X.squeezed(f["name"]), F.trim(F.coalesce(f["reset"], F.lit("")))
         defined = F.concat(name, F.lit(":"))
         spots = F.when(text.contains(defined), _after(text, defined)).otherwise(_after(text, name))
-        seen = F.exists(spots, lambda t: F.when(F.lower(reset).startswith("0x"), has(t, reset)).otherwise(t.contains(X.squeezed(reset))))
+        printed_as = F.when(F.lower(reset).startswith("0x"), X.hex_variants(reset)).otherwise(F.array(X.squeezed(reset)))
+        # worked out once for all spots
+        seen = F.element_at(F.transform(F.array(printed_as), lambda ways: F.exists(spots, lambda t: F.exists(ways, lambda v: t.contains(v)))), 1)
         return F.when((F.coalesce(f["name"], F.lit("")) == "") | (f["name"] == "Reserved"), F.lit(None).cast("string")).when(~text.contains(name), F.concat(F.lit("field:"), f["name"])).when(~F.lower(reset).isin(TRIVIAL) & ~seen, F.concat(F.lit("field_reset:"), f["name"], F.lit("="), reset))
 
     bad = F.filter(F.transform(F.coalesce("fields", F.array().cast("array<struct<bits:string,name:string,desc:string,access:string,reset:string>>")), field), lambda x: x.isNotNull())

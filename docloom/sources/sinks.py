@@ -78,7 +78,7 @@ def manifest(entries: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
-def search_index(chunks: DataFrame, path: str, files: int = 16) -> None:
+def search_index(chunks: DataFrame, path: str, files: int | None = None) -> None:
     """The inverted index (search.Index reads it): postings sorted by token, statistics of documents, and chunks by key."""
     search.write_index(chunks, path, files)
 
