@@ -9,7 +9,7 @@ from docloom.functions import text as X
 from docloom.operators.hierarchy import section_path
 
 #: How sentences name bases, and headers and words of address tables.
-HEX = r"0x[0-9A-Fa-f]{1,8}(?:[ _][0-9A-Fa-f]{4})?"
+HEX = r"0x[0-9A-Fa-f]{1,16}(?:[ _][0-9A-Fa-f]{4})?"
 SENTENCE = rf"(?Us)(?:The\s+)?([\w\-+/ ]{{1,80}}?)\s+registers?\s+(?:start|starts|are located|is located|begin)\s+at\s+(?:a\s+)?base\s+address(?:es)?\s+of\s+({HEX}(?:\s*(?:,|and)\s*{HEX})*)(?:\s+respectively)?(?:\s*\(defined\s+as\s+([A-Z][A-Z0-9_]*(?:\s*(?:,|and)\s*[A-Z][A-Z0-9_]*)*)\s+in\s+SDK\))?"
 ADDRESS_HEADERS = ["boundary address", "base address", "start address", "address range", "address", "base"]
 NAME_HEADERS = ["peripheral", "peripherals", "name", "module", "block", "instance"]

@@ -115,6 +115,13 @@ def test_tables(spark):
     assert [(e["name"], e["base"], e["end"], e["bus"]) for e in got] == [("TIM2", "0x40000000", "0x400003ff", "APB1"), ("TIM3", "0x40000000", "0x400003ff", "APB1"), ("RCC", "0x40021000", "0x400213ff", "AHB1")]
 
 
+def test_bases_past_32_bits(spark):
+    got = entries(spark, [table([["LOW_BASE", "0x40014000"], ["HIGH_BASE", "0x100004000"], ["TOP_BASE", "0xFFFF000012345678"]])])
+    assert {e["name"]: e["base"] for e in got} == {"LOW": "0x40014000", "HIGH": "0x100004000", "TOP": "0xffff000012345678"}
+    got = entries(spark, [table([["Base address", "Peripheral"], ["0x10000 4000 - 0x10000 4FFF", "A"], ["0x123456789A - 0x123456789F", "B"]])])
+    assert {e["name"]: (e["base"], e["end"]) for e in got} == {"A": ("0x100004000", "0x100004fff"), "B": ("0x123456789a", "0x123456789f")}
+
+
 def test_conflicts(spark):
     rows = [table([["UART0_BASE", "0x40034000"]], 3), text("The UART0 registers start at a base address of 0x40034000", 9), text("The UART0 registers start at a base address of 0x50000000", 10)]
     e = entries(spark, rows)[0]
