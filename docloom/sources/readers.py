@@ -41,13 +41,20 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 FIGURE_HEAD = "id\tpage\tsection\tfile\tcaption\tlabels"
 
 
-def figures_tsv(spark: SparkSession, path: str) -> DataFrame:
+def files(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """doc_id, file, text of files that sinks wrote, each a text read whole."""
+    if packed:
+        return spark.read.schema("doc_id string, file string, text string").parquet(path)
+    return spark.read.text(path, wholetext=True).select(F.col("doc_id").cast("string").alias("doc_id"), "file", F.col("value").alias("text"))
+
+
+def figures_tsv(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """Rows are padded or cut to six columns; a head is skipped. Of a folder by document also doc_id."""
     cell = lambda k: F.coalesce(F.try_element_at(F.split("value", "\t"), F.lit(k + 1)), F.lit(""))
     names = ("fid", "page", "section", "file", "caption", "labels")
 
     def read() -> DataFrame:
-        lines = spark.read.text(path)
+        lines = files(spark, path, packed).select("doc_id", F.explode(F.split("text", "\n")).alias("value")) if packed else spark.read.text(path)
         rows = lines.where((F.trim("value") != "") & (F.col("value") != FIGURE_HEAD))
         return rows.select(*[cell(k).alias(n) for k, n in enumerate(names)], *[F.col("doc_id").cast("string")] * ("doc_id" in lines.columns))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
@@ -10,21 +10,30 @@ from docloom.operators import hierarchy, search
 from docloom.sources import readers
 
 
-def _files(lines: DataFrame, path: str) -> None:
-    """doc_id, file, ix, md: a folder for each document and in it one for each file, whose lines one task sorts and writes."""
-    own = lines.repartition("doc_id", "file").sortWithinPartitions("doc_id", "file", "ix")
-    own.select("doc_id", "file", F.col("md").alias("value")).write.mode("overwrite").partitionBy("doc_id", "file").text(path)
+def _joined(ix: str) -> Column:
+    """The md of a group in the order of ix, each with a line end."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(ix, F.coalesce("md", F.lit("")).alias("md")))), lambda x: x["md"])
+    return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
 
 
-def section_markdown(parts: DataFrame, path: str, source: str = "") -> None:
+def _files(files: DataFrame, path: str, packed: bool) -> None:
+    """doc_id, file, text: a folder for each document and in it its files; packed, a row for each file (readers.files), as
+    stores and listings don't bear millions of small ones."""
+    if packed:
+        files.select("doc_id", "file", "text").write.mode("overwrite").parquet(path)
+    else:
+        files.select("doc_id", "file", F.regexp_replace("text", "\n\\z", "").alias("value")).write.mode("overwrite").partitionBy("doc_id", "file").text(path)
+
+
+def section_markdown(parts: DataFrame, path: str, source: str = "", packed: bool = False) -> None:
     """Files named by part (split_parts), with the lines that every file begins with; chunks and headings cite their lines."""
-    names = parts.groupBy("doc_id", "part_ix").agg(F.first(hierarchy.file_name(parts)).alias("file"))
-    front = hierarchy.front_lines(parts, F.lit(source)).withColumn("ix", F.lit(-1).cast("bigint"))
-    body = hierarchy.markdown_lines(parts).withColumnRenamed("block_ix", "ix")
-    _files(front.unionByName(body).join(names, ["doc_id", "part_ix"]), path)
+    page = F.when(F.col("page") != 0, F.col("page"))
+    body = hierarchy.markdown_lines(parts, "page", "part_title", hierarchy.file_name(parts).alias("file"))
+    whole = body.groupBy("doc_id", "part_ix").agg(F.first("file").alias("file"), F.first("part_title").alias("title"), F.coalesce(F.min(page), F.lit(0)).alias("a"), F.coalesce(F.max(page), F.lit(0)).alias("z"), _joined("block_ix").alias("body"))
+    _files(whole.select("doc_id", "file", F.concat(hierarchy.front_lines(F.col("title"), F.col("a"), F.col("z"), F.lit(source)), "body").alias("text")), path, packed)
 
 
-def index(parts: DataFrame, headings: DataFrame, path: str, depth: int = 2) -> None:
+def index(parts: DataFrame, headings: DataFrame, path: str, depth: int = 2, packed: bool = False) -> None:
     """For each document a head, and for each part a line with its file, title and pages and the headings of the least levels."""
     page = F.when(F.col("page") != 0, F.col("page"))
     by_part = parts.groupBy("doc_id", "part_ix").agg(F.first(hierarchy.file_name(parts)).alias("file"), F.first("part_title").alias("title"), F.min_by(F.when(F.col("kind") == "heading", F.col("sec")), "block_ix").alias("sec"), F.coalesce(F.min(page), F.lit(0)).alias("a"), F.coalesce(F.max(page), F.lit(0)).alias("z"), F.min("block_ix").alias("first"))
@@ -34,23 +43,24 @@ def index(parts: DataFrame, headings: DataFrame, path: str, depth: int = 2) -> N
     top = parts.groupBy("doc_id").agg(F.countDistinct("part_ix").alias("n"), F.coalesce(F.max("page"), F.lit(0)).alias("pages")).select("doc_id", F.lit(-1).cast("bigint").alias("ix"), F.concat(F.lit("# "), "doc_id", F.lit(" — INDEX\n"), F.col("pages").cast("string"), F.lit(" pages · "), F.col("n").cast("string"), F.lit(" section files\n")).alias("md"))
     inside = hierarchy.index_headings(headings, depth).join(by_part.select("doc_id", "file", "first"), ["doc_id", "file"]).where("block_ix <> first")  # a part's own heading stands in its line
     lines = inside.select("doc_id", (F.col("block_ix") * 2 + 1).alias("ix"), F.concat(F.lit("- "), label(F.col("sec"), F.col("title")), F.lit("  p."), F.col("page").cast("string")).alias("md"))
-    _files(top.unionByName(heads).unionByName(lines).withColumn("file", F.lit("INDEX.md")), path)
+    _files(top.unionByName(heads).unionByName(lines).groupBy("doc_id", F.lit("INDEX.md").alias("file")).agg(_joined("ix").alias("text")), path, packed)
 
 
-def tables(blocks: DataFrame, path: str) -> None:
+def tables(blocks: DataFrame, path: str, packed: bool = False) -> None:
     """index (TSV), grids (CSV, a file for each table), rows (JSON, a row for each grid row) and cells (JSON) of tables."""
     own = blocks.where("kind = 'table'")
     sections = hierarchy.section_path(blocks, "s2").select("doc_id", "block_ix", "section")
     listed = hierarchy.table_ids(blocks).join(sections, ["doc_id", "block_ix"]).select("doc_id", F.col("tid").alias("id"), "page", "section", F.col("n_rows").alias("rows"), F.col("n_cols").alias("cols"), F.col("spans").cast("int").alias("spans"), "caption")
     listed.write.mode("overwrite").csv(f"{path}/index", sep="\t", header=True)
     cell = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
-    grid = own.select("doc_id", F.concat("table_id", F.lit(".csv")).alias("file"), F.posexplode("grid").alias("ix", "cells"))
-    _files(grid.select("doc_id", "file", "ix", F.array_join(F.transform("cells", cell), ",").alias("md")), f"{path}/grids")
+    lines = F.transform("grid", lambda r: F.array_join(F.transform(r, cell), ","))
+    grids = own.where(F.size("grid") > 0).select("doc_id", F.concat("table_id", F.lit(".csv")).alias("file"), F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
+    _files(grids, f"{path}/grids", packed)
     own.select("doc_id", "table_id", F.posexplode("grid").alias("row", "cells")).write.mode("overwrite").json(f"{path}/rows")
     own.where("cells IS NOT NULL").select("doc_id", "table_id", F.inline("cells")).write.mode("overwrite").json(f"{path}/cells")
 
 
-def figures(blocks: DataFrame, path: str, files: DataFrame | None = None) -> None:
+def figures(blocks: DataFrame, path: str, files: DataFrame | None = None, packed: bool = False) -> None:
     """For each document the pictures as tab-parted lines under a head. files: doc_id, table_id of pictures with an image."""
     labels = F.substring(F.coalesce(F.try_element_at(F.flatten("grid"), F.lit(1)), F.lit("")), 1, 300)
     own = hierarchy.section_path(blocks, "s2").where("kind = 'picture'")
@@ -59,9 +69,8 @@ def figures(blocks: DataFrame, path: str, files: DataFrame | None = None) -> Non
         own = own.join(files.select("doc_id", "table_id", F.lit(True).alias("__has")), ["doc_id", "table_id"], "left")
         image = F.when(F.col("__has"), F.concat(F.lit("figures/"), "table_id", F.lit(".png"))).otherwise("")
     cells = [X.one_line(c) for c in (F.col("table_id"), F.col("page").cast("string"), F.col("section"), image, F.col("title"), labels)]
-    lines = own.select("doc_id", F.lit("index.tsv").alias("file"), F.col("block_ix").alias("ix"), F.concat_ws("\t", *cells).alias("md"))
-    heads = own.select("doc_id").distinct().select("doc_id", F.lit("index.tsv").alias("file"), F.lit(-1).cast("bigint").alias("ix"), F.lit(readers.FIGURE_HEAD).alias("md"))
-    _files(heads.unionByName(lines), path)
+    lines = own.select("doc_id", "block_ix", F.concat_ws("\t", *cells).alias("md")).groupBy("doc_id").agg(_joined("block_ix").alias("lines"))
+    _files(lines.select("doc_id", F.lit("index.tsv").alias("file"), F.concat(F.lit(readers.FIGURE_HEAD + "\n"), "lines").alias("text")), path, packed)
 
 
 def records(df: DataFrame, path: str) -> None:
@@ -83,10 +92,10 @@ def search_index(chunks: DataFrame, path: str, files: int | None = None) -> None
     search.write_index(chunks, path, files)
 
 
-def whole_document(blocks: DataFrame, path: str) -> None:
+def whole_document(blocks: DataFrame, path: str, packed: bool = False) -> None:
     """Each document as one markdown text."""
     lines = hierarchy.markdown_lines(blocks.withColumn("part_ix", F.lit(0)))
-    _files(lines.select("doc_id", F.lit("document.md").alias("file"), F.col("block_ix").alias("ix"), "md"), path)
+    _files(lines.groupBy("doc_id").agg(F.lit("document.md").alias("file"), _joined("block_ix").alias("text")), path, packed)
 
 
 def results_csv(df: DataFrame, path: str) -> None:

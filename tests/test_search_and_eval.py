@@ -259,3 +259,16 @@ def test_catalog(spark):
     old = spark.createDataFrame([("a", "1", None), ("b", "0", None), ("c", "3", [1, 3])], "id string, sha256 string, page_range array<int>")
     assert {r["id"] for r in catalog.stale(new, old).collect()} == {"b", "c"}
     assert catalog.upsert(old, new.where("id = 'b'")).where("id = 'b'").first()["sha256"] == "2"
+
+
+def test_packed_files(spark, tmp_path):
+    """A row for each file, with the text that it has in a folder; few files however many documents; ids as they are."""
+    b = blocks(spark, [heading("One", 1, "1"), text("a\n\nb"), text("c", 2)], "007").unionByName(blocks(spark, [text("alone")], "d"))
+    for k in range(20):
+        b = b.unionByName(blocks(spark, [text(f"x{k}")], f"e{k}"))
+    sinks.whole_document(b, str(tmp_path / "loose"))
+    sinks.whole_document(b, str(tmp_path / "packed"), packed=True)
+    got = {r["doc_id"]: r["text"] for r in readers.files(spark, str(tmp_path / "packed"), packed=True).collect()}
+    assert got["007"] == "# 1 One <!-- p.1 -->\n\na\n\nb\n\n<!-- p.2 -->\nc\n\n" and got["d"] == "<!-- p.1 -->\nalone\n\n" and len(got) == 22
+    assert sorted(got.values()) == sorted(r["text"] for r in readers.files(spark, str(tmp_path / "loose")).collect())
+    assert len(list((tmp_path / "packed").rglob("part-*"))) <= 4 < len(list((tmp_path / "loose").rglob("part-*")))
