@@ -7,7 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import catalog, evaluate, hints, lookup, search
+from docloom.operators import hierarchy, catalog, evaluate, hints, lookup, search
 from docloom.sources import adapters, readers, sinks
 from docloom.streaming import prompts
 from tests.helpers import blocks, heading, table, text
@@ -284,3 +284,17 @@ def test_tables_of_parts_past_a_million(spark, tmp_path):
     assert {(r["id"], r["section"]) for r in got} == {("t2", "1"), ("t3", "2"), ("t1200000", "1"), ("t1200001", "2")}
     lines = QUERIES["table_grids"](spark, str(tmp_path)).where("line = 2").collect()
     assert {r["text"] for r in lines} == {f"31:16,SIZE,Size  of part {p},RW,0x{n}" for p, n in ((2, 1), (3, 1), (1_200_000, 5), (1_200_001, 5))}
+
+
+def test_packed_indexes(spark, tmp_path):
+    """Section files, indexes and figures of documents with ids such as 007 come back from packed files."""
+    b = blocks(spark, [heading("One", 1, "1"), {"kind": "picture", "title": "Tree", "table_id": "f0001", "grid": [["a, b"]]}, text("x")], "007")
+    parts = hierarchy.line_numbers(hierarchy.split_parts(b))
+    sinks.figures(b, str(tmp_path / "f"), packed=True)
+    assert [(r["doc_id"], r["fid"], r["labels"]) for r in readers.figures_tsv(spark, str(tmp_path / "f"), packed=True).collect()] == [("007", "f0001", "a, b")]
+    sinks.section_markdown(parts, str(tmp_path / "s"), "a.pdf", packed=True)
+    own = readers.files(spark, str(tmp_path / "s"), packed=True).first()
+    assert (own["doc_id"], own["file"]) == ("007", "00-1-one.md") and own["text"].split("\n")[:8] == ["---", "doc: 007", 'title: "One"', "pages: 1-1", "source: a.pdf", "---", "", "# 1 One <!-- p.1 -->"]
+    headings = parts.where("kind = 'heading'").select("doc_id", "block_ix", "sec", "title", "level", "page", hierarchy.file_name(parts).alias("file"), "line")
+    sinks.index(parts, headings, str(tmp_path / "i"), packed=True)
+    assert readers.files(spark, str(tmp_path / "i"), packed=True).first()["text"].split("\n")[3] == "## sections/00-1-one.md  §1 One  p.1-1"
