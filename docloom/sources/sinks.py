@@ -12,7 +12,7 @@ from docloom.sources import readers
 
 def _joined(ix: str) -> Column:
     """The md of a group in the order of ix, each with a line end."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(ix, F.coalesce("md", F.lit("")).alias("md")))), lambda x: x["md"])
+    lines = F.sort_array(F.collect_list(F.struct(ix, F.coalesce("md", F.lit("")).alias("md"))))["md"]
     return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
 
 

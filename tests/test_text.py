@@ -82,3 +82,10 @@ def test_nulls(spark):
     none = F.lit(None).cast("string")
     assert one(spark, X.fix_text(none)) is None
     assert one(spark, X.one_line(none)) == ""
+
+
+def test_slugs_of_long_titles_need_their_begin_only(spark):
+    """What is cut off is not worked on; blanks and signs before and between count as one dash however many they are."""
+    df = spark.createDataFrame([("--A  b!c" + " - " * 5000 + "d" * 40,), ("x" * 32 + "-y",), ("x" * 31 + " -- ",), ("!?" * 900,), ("a " * 20,)], "t string")
+    assert [r[0] for r in df.select(X.slugify(F.col("t"), 32)).collect()] == ["a-b-c-" + "d" * 26, "x" * 32, "x" * 31, "section", "-".join("a" * 16)]
+    assert "regexp_extract" in df.select(X.slugify(F.col("t"), 32))._jdf.queryExecution().toString()
